@@ -116,7 +116,7 @@ def _periodic(f: DataFrame, scratch: Scratch) -> DataFrame:
         )
         got = nxt.agg(F.countDistinct("ptr"), F.coalesce(F.max("fell"), F.lit(False))).first()
         scratch.drop(now)
-        now = nxt.select("id", "ptr", "label")
+        now = nxt
         if got[0] == image and not got[1]:
             return nxt.select("id", "label").join(nxt.select(F.col("ptr").alias("id")).distinct(), "id", "left_semi")
         image = got[0]

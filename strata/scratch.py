@@ -30,7 +30,6 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/strata-{uuid.uuid4().hex}"
         self._n = 0
-        self._at: dict[int, str] = {}
         atexit.register(self.clear)
 
     def cut(self, df: DataFrame) -> DataFrame:
@@ -38,7 +37,7 @@ class Scratch:
         path = f"{self.root}/{self._n}"
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self._at[id(back)] = path
+        back._scratch_path = path
         return back
 
     def _delete(self, path: str) -> None:
@@ -48,7 +47,7 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            if path := self._at.pop(id(df), None):
+            if path := df.__dict__.pop("_scratch_path", None):  # only frames that cut() returned have one
                 self._delete(path)
 
     def clear(self) -> None:
