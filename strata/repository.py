@@ -139,7 +139,10 @@ class Repository:
     # ---- frames ----
 
     def commits(self) -> DataFrame:
-        saved = self._ranged(self.spark.read.schema(COMMITS).parquet(f"{self.root}/commits"))
+        every = self.spark.read.schema(COMMITS).parquet(f"{self.root}/commits")
+        saved = self._ranged(every)
+        if self.range:  # a snapshot brings the commit of its own state along
+            saved = saved.unionByName(every.join(self.snapshot_index().select("statesum"), "statesum", "left_semi").select(*saved.columns))
         if self._queue:
             saved = saved.unionByName(self.spark.createDataFrame([{**c, "ss": -1, "cl": -1} for c, _ in self._queue], COMMITS))
         return dag.known_once(saved)
