@@ -23,8 +23,10 @@ from strata.scratch import Scratch
 BLOCK_CONTAINERS = 256
 #: A container filled less than this after a round is unpacked for the next one.
 WELL_FILLED = 0.98
-#: Fillings tried per container, and containers completed per block, before the incumbent stands.
-FILLINGS, STEPS = 16, 1024
+#: Fillings tried per container, and containers completed per search, before the incumbent stands.
+FILLINGS, STEPS = 8, 512
+#: So many of the least filled containers are searched first.
+WORST = 8
 #: After this many rounds every container stands as it is.
 ROUNDS = 3
 
@@ -68,88 +70,107 @@ def fillings(largest: int, have: Counter, distinct: list[int], capacity: int) ->
     A filling is dominated if an item left out would fit in addition, or could take the place of a
     smaller item that is in: the other container that has it could then hold the smaller one.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
+    found: set[tuple[int, tuple[int, ...]]] = set()
     budget = [FILLINGS * 20]
+    negated = [-x for x in distinct]
 
-    def extend(at: int, room: int, chosen: list[int]) -> None:
+    def extend(at: int, room: int, chosen: tuple[int, ...]) -> None:
         budget[0] -= 1
         if budget[0] < 0 or len(found) >= FILLINGS * 4:
             return
         grown = False
-        while at < len(distinct):
+        for at in range(max(at, bisect_left(negated, -room)), len(distinct)):
             x = distinct[at]
-            if x <= room and chosen.count(x) < have[x]:
+            if chosen.count(x) < have[x]:
                 grown = True
-                extend(at, room - x, [*chosen, x])
-                if room - x == 0:
+                extend(at, room - x, (*chosen, x))
+                if room == x or budget[0] < 0:
                     return
-            at += 1
-        if not grown and not _dominated(chosen, room, have, distinct):
-            found.append((room, tuple(chosen)))
+        if not grown and not (room and _dominated(chosen, room, have, distinct, negated)):
+            found.add((room, chosen))
 
-    extend(bisect_left([-x for x in distinct], -(capacity - largest)), capacity - largest, [])
-    unique = dict.fromkeys(sorted(found))
-    return [c for _, c in unique][:FILLINGS] or [()]
+    extend(0, capacity - largest, ())
+    return [c for _, c in sorted(found)][:FILLINGS] or [()]
 
 
-def _dominated(chosen: list[int], room: int, have: Counter, distinct: list[int]) -> bool:
-    used = Counter(chosen)
-    negated = [-x for x in distinct]
-    for y in used:
-        # an item larger than y by no more than the room is left over
+def _dominated(chosen: tuple[int, ...], room: int, have: Counter, distinct: list[int], negated: list[int]) -> bool:
+    """Could an item left out, larger by no more than the room, take the place of one that is in?"""
+    for y in set(chosen):
         for x in distinct[bisect_left(negated, -(y + room)) : bisect_left(negated, -y)]:
-            if used[x] < have[x]:
+            if chosen.count(x) < have[x]:
                 return True
-    for x in distinct[bisect_left(negated, -room) :]:
-        if used[x] < have[x]:
-            return True
     return False
 
 
 def complete(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Containers as lists of item indices; every size is between 1 and the capacity."""
+    """Containers as lists of item indices; every size is between 1 and the capacity.
+
+    Completion is tried on the items of the least filled containers first, where a container can be
+    saved, then on more of them, and at last on all items.
+    """
     best = best_fit(sizes, capacity)
     bound = lower_bound(sizes, capacity)
-    if len(best) <= bound:
-        return best
-    total, by_size = sum(sizes), Counter(sizes)
-    steps, best_sizes = [STEPS], None
-    target = [len(best)]
-    # explicit stack: a block has more containers than Python has frames
-    stack = [(by_size, total, [], 0, None, 0)]
-    while stack and steps[0] > 0 and target[0] > bound:
+    open_ = WORST
+    while len(best) > bound:
+        best.sort(key=lambda b: sum(sizes[i] for i in b))
+        part = best[:open_]
+        items = [i for b in part for i in b]
+        shorter = _searched([sizes[i] for i in items], capacity, len(part))
+        if shorter:
+            best = [[items[j] for j in b] for b in shorter] + best[open_:]
+        elif open_ >= len(best):
+            break
+        else:
+            open_ *= 4
+    return best
+
+
+def _searched(sizes: list[int], capacity: int, known: int) -> list[list[int]] | None:
+    """A solution with fewer than ``known`` containers by branch and bound, None if none was met."""
+    bound = lower_bound(sizes, capacity)
+    if known <= bound:
+        return None
+    total, steps, target, found = sum(sizes), STEPS, known, None
+    # explicit stack: a block may have more containers than Python has frames
+    stack = [(Counter(sizes), total, (), 0, None, 0)]
+    while stack and steps > 0 and target > bound:
         have, left, done, waste, options, at = stack.pop()
         if not left:
-            target[0], best_sizes = len(done), done
+            found, n = done, 0
+            while done:
+                done, n = done[0], n + 1
+            target = n
             continue
-        if len(done) + -(-left // capacity) >= target[0] or waste > (target[0] - 1) * capacity - total:
+        if waste > (target - 1) * capacity - total:
             continue
-        distinct = sorted(have, reverse=True)
-        largest = distinct[0]
         if options is None:
+            largest = max(have)
             rest = have.copy()
             rest[largest] -= 1
             if not rest[largest]:
                 del rest[largest]
-            options = fillings(largest, rest, sorted(rest, reverse=True), capacity)
+            options = [(largest, *f) for f in fillings(largest, rest, sorted(rest, reverse=True), capacity)]
         if at + 1 < len(options):
             stack.append((have, left, done, waste, options, at + 1))
-        steps[0] -= 1
-        filling = (largest, *options[at])
+        steps -= 1
+        filling = options[at]
         after = have.copy()
         for x in filling:
             after[x] -= 1
             if not after[x]:
                 del after[x]
         size = sum(filling)
-        rest_left = left - size
-        stack.append((after, rest_left, [*done, filling], waste + (capacity - size if rest_left else 0), None, 0))
-    if best_sizes is None:
-        return best
+        stack.append((after, left - size, (done, filling), waste + (capacity - size if left > size else 0), None, 0))
+    if found is None:
+        return None
     where: dict[int, list[int]] = {}
     for i, x in enumerate(sizes):
         where.setdefault(x, []).append(i)
-    return [[where[x].pop() for x in filling] for filling in best_sizes]
+    out = []
+    while found:
+        found, filling = found
+        out.append([where[x].pop() for x in filling])
+    return out
 
 
 def _solve(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
