@@ -10,6 +10,7 @@ blanks or a tab, or if too few of its words are plain words (see :func:`is_machi
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import regex
@@ -24,6 +25,10 @@ MD_LINK = regex.compile(r"!?\[[^\]\n]*\]\([^)\n]*\)|!?\[[^\]\n]*\]:\s*\S+")
 URL = regex.compile(r"(?:[a-z][a-z0-9+.-]{1,9}://|www\.)\S+", regex.I)
 BRACKETED_NOTE = regex.compile(r"\[(?:dead link|broken link)\]|\((?:404|dead|gone)[^)\n]*\)", regex.I)
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’]\p{L}[\p{L}\p{M}]*)*")
+ASCII_WORD = re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)*")
+LEADING_TAGS = re.compile(r"^(?:[ ]{0,3}</?[A-Za-z][^<>]*>)+")
+#: Without any of these a line has neither identifiers nor symbols of code.
+SUSPECT = re.compile(r"[_{}=<>|\\;$]|\(\)|::|->|[a-z][A-Z]|[^\x00-\x7f]")
 NAME = regex.compile(r"\b[\p{L}\d]+_[\p{L}\d_]+|\b\p{Ll}+(?:\p{Lu}\p{Ll}+)+|\b(?:\p{Lu}\p{Ll}+){2,}")
 MACHINE = regex.compile(
     r"^(?:\$ |>>> |# ?\w+=|[A-Z]+ .*\b(?:FROM|SET|INTO|TABLE)\b|(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL)\b"
@@ -41,8 +46,10 @@ def is_machine_line(line: str) -> bool:
         return False
     if MACHINE.match(bare):
         return True
-    names, symbols, words = len(NAME.findall(bare)), len(SYMBOLS.findall(bare)), len(WORD.findall(bare))
-    return 2 * names + symbols > max(1, words - 2 * names)
+    if not SUSPECT.search(bare):
+        return False
+    names, symbols = len(NAME.findall(bare)), len(SYMBOLS.findall(bare))
+    return bool(names or symbols) and 2 * names + symbols > max(1, len(WORD.findall(bare)) - 2 * names)
 
 
 MOJIBAKE = regex.compile(r"[ÃÂâ][\x80-\xbf\u0152-\u2122]")
@@ -71,18 +78,34 @@ def _recoded(m: regex.Match) -> str:
 def own_prose(text: str | None) -> str:
     if not text or text.isspace():
         return ""
-    text = repaired(text).replace("\r\n", "\n").replace("\r", "\n").replace("\xa0", " ")
-    text = PRE.sub("\n", FENCE.sub("\n", text))
-    text = ANCHOR.sub(" ", QUOTED.sub("\n", text))
+    if not text.isascii():
+        text = repaired(text).replace("\xa0", " ")
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if "```" in text or "~~~" in text:
+        text = FENCE.sub("\n", text)
+    if "<" in text:
+        text = ANCHOR.sub(" ", QUOTED.sub("\n", PRE.sub("\n", text)))
     kept = []
     for line in text.split("\n"):
-        line = TAG.sub(" ", line) if "<" in line else line
-        if line.startswith(("    ", "\t", " \t", "     ")):
+        if "<" in line:  # tags before an indentation do not hide it
+            line = LEADING_TAGS.sub("", line)
+        if not line or line.startswith(("    ", "\t", " \t")):
             continue
-        line = html.unescape(line) if "&" in line else line
+        if "<" in line:
+            line = TAG.sub(" ", line)
+        if "&" in line:
+            line = html.unescape(line)
         if line.lstrip().startswith((">", "|", "»")):
             continue
-        line = BRACKETED_NOTE.sub(" ", URL.sub(" ", MD_LINK.sub(" ", INLINE.sub(" ", line))))
+        if "`" in line:
+            line = INLINE.sub(" ", line)
+        if "[" in line or "(" in line:
+            line = BRACKETED_NOTE.sub(" ", MD_LINK.sub(" ", line))
+        if "://" in line or "www." in line.lower():
+            line = URL.sub(" ", line)
+            if "(" in line:
+                line = BRACKETED_NOTE.sub(" ", line)
         if not is_machine_line(line):
             kept.append(line)
     return "\n".join(kept)
@@ -90,4 +113,7 @@ def own_prose(text: str | None) -> str:
 
 def words(text: str | None) -> list[str]:
     """Lower-case words of the own prose, in order."""
-    return [w.lower().replace("’", "'") for w in WORD.findall(own_prose(text))]
+    own = own_prose(text)
+    if own.isascii():
+        return ASCII_WORD.findall(own.lower())
+    return [w.replace("’", "'") for w in WORD.findall(own.lower())]
