@@ -35,6 +35,13 @@ UNLABELLED = 0.1
 #: Fewer running words of own prose than this are never a case.
 LEAST_WORDS = 10
 ROUNDS = 3
+#: Tables with one row per word are joined by broadcast up to this many rows of about 50 bytes, by a shuffle beyond.
+FEW_WORDS = 200_000
+
+
+def _by_word(table: DataFrame) -> DataFrame:
+    """A written table of words, marked for broadcast if it is small."""
+    return F.broadcast(table) if table.count() <= FEW_WORDS else table
 
 
 def bags(documents: DataFrame) -> DataFrame:
@@ -62,10 +69,10 @@ def _runs(bag: DataFrame, *more: str) -> DataFrame:
     return bag.select("doc_id", *more, F.explode(F.arrays_zip("words", "counts")).alias("x")).select("doc_id", *more, F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
 
 
-def languages(bag: DataFrame) -> DataFrame:
+def languages(bag: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, lang): the language whose documents share its words; declared ones are often wrong."""
     seen = _runs(bag.where("tag IS NOT NULL"), "tag").groupBy("word", "tag").agg(F.count(F.lit(1)).alias("docs"))
-    gain = seen.select("word", "tag", F.log((F.col("docs") + 0.1) / 0.1).alias("gain"))
+    gain = _by_word(scratch.cut(seen.select("word", "tag", F.log((F.col("docs") + 0.1) / 0.1).alias("gain"))))
     scores = _runs(bag).select("doc_id", "word").join(gain, "word").groupBy("doc_id", "tag").agg(F.sum("gain").alias("score"))
     return scores.groupBy("doc_id").agg(F.max_by("tag", F.struct("score", "tag")).alias("lang"))
 
@@ -154,7 +161,7 @@ def levels(documents: DataFrame, labels: DataFrame, *, rounds: int = ROUNDS, scr
     bag = scratch.cut(bags(documents))
     shown = bag.select("doc_id", "n_words")
     bands = labels.where("band IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.avg("band").alias("band"))
-    lang = languages(bag)
+    lang = languages(bag, scratch)
     bag = scratch.cut(bag.where("n_words > 0").join(lang, "doc_id", "left").join(bands, "doc_id", "left").select("doc_id", F.coalesce("lang", F.lit("--")).alias("lang"), "n_words", "words", "counts", "band"))
     bands = bag.where("band IS NOT NULL").select("doc_id", "band")
     if bands.isEmpty():
@@ -163,7 +170,7 @@ def levels(documents: DataFrame, labels: DataFrame, *, rounds: int = ROUNDS, scr
     known = _runs(bag.where("band IS NOT NULL"), "lang", "band").groupBy("lang", "word").agg(
         ((F.sum(F.col("n") * F.col("band")) + CENTRE) / (F.sum("n") + 1)).alias("score")
     )
-    known = scratch.cut(known)
+    known = _by_word(scratch.cut(known))
     first = _runs(bag, "lang").join(known, ["lang", "word"], "left").groupBy("doc_id").agg(
         (F.sum(F.col("n") * F.coalesce("score", F.lit(CENTRE))) / F.sum("n")).alias("mean")
     )
@@ -182,7 +189,7 @@ def levels(documents: DataFrame, labels: DataFrame, *, rounds: int = ROUNDS, scr
         )
         params = scratch.cut(_fitted_words(items, mass))
         norms = _norms(params)
-        sums = _runs(bag, "lang", "n_words").join(params.select("lang", "word", "b"), ["lang", "word"]).groupBy("doc_id", "lang", "n_words").agg(F.sum(F.col("n") * F.col("b")).alias("s"))
+        sums = _runs(bag, "lang", "n_words").join(_by_word(params).select("lang", "word", "b"), ["lang", "word"]).groupBy("doc_id", "lang", "n_words").agg(F.sum(F.col("n") * F.col("b")).alias("s"))
         nxt = scratch.cut(_mapped(_best_levels(sums, norms), bands))
         scratch.drop(held, now)
         now = nxt
