@@ -176,21 +176,20 @@ def levels(documents: DataFrame, labels: DataFrame, *, rounds: int = ROUNDS, scr
     )
     now = scratch.cut(_mapped(first.select("doc_id", F.round("mean", 1).alias("raw")), bands))
     for _ in range(rounds):
-        held = bag.join(now.select("doc_id", "level"), "doc_id").select(
-            "doc_id", "lang", "n_words", "words", "counts",
+        place = [
             F.round(F.coalesce("band", "level"), 1).alias("level"), F.when(F.col("band").isNull(), UNLABELLED).otherwise(1.0).alias("weight"),
-        )
-        held = scratch.cut(held)
+        ]
+        held = bag.join(now.select("doc_id", "level"), "doc_id")
         mass: dict[str, np.ndarray] = {}
-        for x, level, m in held.groupBy("lang", "level").agg(F.sum(F.col("n_words") * F.col("weight"))).collect():
+        for x, level, m in held.select("lang", "n_words", *place).groupBy("lang", "level").agg(F.sum(F.col("n_words") * F.col("weight"))).collect():
             mass.setdefault(x, np.zeros(len(GRID)))[int(round(level * 10))] += m
-        items = _runs(held, "lang", "level", "weight").groupBy("lang", "word").agg(
+        items = _runs(held.select("doc_id", "lang", *place, "words", "counts"), "lang", "level", "weight").groupBy("lang", "word").agg(
             F.sum(F.col("n") * F.col("weight")).alias("n"), F.sum(F.col("n") * F.col("weight") * (F.col("level") - CENTRE)).alias("t")
         )
         params = scratch.cut(_fitted_words(items, mass))
         norms = _norms(params)
         sums = _runs(bag, "lang", "n_words").join(_by_word(params).select("lang", "word", "b"), ["lang", "word"]).groupBy("doc_id", "lang", "n_words").agg(F.sum(F.col("n") * F.col("b")).alias("s"))
         nxt = scratch.cut(_mapped(_best_levels(sums, norms), bands))
-        scratch.drop(held, now)
+        scratch.drop(now)
         now = nxt
     return shown.join(now.select("doc_id", "level"), "doc_id", "left")
