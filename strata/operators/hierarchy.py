@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from strata.scratch import Scratch
 
+#: Paths are put together from segments of so many nodes.
+WAYPOINT = 32
+
 
 def hierarchy(nodes: DataFrame, id: str, parent: str, *, with_path: bool = True, scratch: Scratch | None = None) -> DataFrame:
     """One row per node: id, parent, root, depth, path (root first), status.
@@ -36,55 +39,83 @@ def hierarchy(nodes: DataFrame, id: str, parent: str, *, with_path: bool = True,
     links = scratch.cut(links)
     known = links.select(F.col("id").alias("parent")).withColumn("known", F.lit(True))
     start = links.join(known, "parent", "left").select(
-        "id", F.when(F.col("known"), F.col("parent")).alias("ptr"), F.lit(1).cast("bigint").alias("steps"),
+        "id", F.when(F.col("known"), F.col("parent")).alias("ptr"), F.when(F.col("known"), F.lit(1)).otherwise(0).cast("bigint").alias("steps")
     )
-    cols = [
-        "id", "ptr",
-        F.when(F.col("ptr").isNull(), F.col("id")).alias("root"),
-        F.when(F.col("ptr").isNull(), F.lit(0)).otherwise(F.col("steps")).cast("bigint").alias("steps"),
-    ]
-    if with_path:
-        cols.append(F.array("id").alias("seg"))
-    now = scratch.cut(start.select(*cols))
+    now = scratch.cut(start.withColumn("root", F.when(F.col("ptr").isNull(), F.col("id"))))
     left = now.where("ptr IS NOT NULL").count()
     while left:
-        nxt = scratch.cut(_double(now, with_path))
+        nxt = scratch.cut(_double(now))
         still = nxt.where("ptr IS NOT NULL").count()
         scratch.drop(now)
         now = nxt
         if still == left:  # no chain of finite length is left
             break
         left = still
-    done = now.where("ptr IS NULL").select(
-        "id", "root", F.col("steps").alias("depth"), *(["seg"] if with_path else []), F.lit("tree").alias("status")
-    )
+    done = now.where("ptr IS NULL").select("id", "root", F.col("steps").alias("depth"), F.lit("tree").alias("status"))
     if left:
         loop = scratch.cut(now.where("ptr IS NOT NULL").select("id"))
         f = scratch.cut(links.join(loop, "id", "left_semi").select("id", F.col("parent").alias("ptr")))
         on = _periodic(f, scratch).select("id", F.lit(True).alias("on"))
         rest = loop.join(on, "id", "left").select(
             "id", F.lit(None).cast(nodes.schema[id].dataType).alias("root"), F.lit(None).cast("bigint").alias("depth"),
-            *([F.lit(None).cast(now.schema["seg"].dataType).alias("seg")] if with_path else []),
             F.when(F.col("on"), "cycle").otherwise("below_cycle").alias("status"),
         )
         done = done.unionByName(rest)
-    out = links.join(done, "id")
-    return out.select("id", "parent", "root", "depth", *([F.col("seg").alias("path")] if with_path else []), "status")
+    if with_path:
+        placed = scratch.cut(links.join(done, "id"))
+        return placed.join(_paths(placed, scratch), "id", "left").select("id", "parent", "root", "depth", "path", "status")
+    return links.join(done, "id").select("id", "parent", "root", "depth", "status")
 
 
-def _double(now: DataFrame, with_path: bool) -> DataFrame:
+def _double(now: DataFrame) -> DataFrame:
     """Jumps of twice the length; a jump that meets a resolved node resolves its own."""
+    segment = "seg" in now.columns
     far = now.select(
         F.col("id").alias("ptr"), F.col("ptr").alias("far"), F.col("root").alias("far_root"), F.col("steps").alias("far_steps"),
-        *([F.col("seg").alias("far_seg")] if with_path else []),
+        *([F.col("seg").alias("far_seg")] if segment else []),
     )
     moved = now.where("ptr IS NOT NULL").join(far, "ptr").select(
-        "id", F.col("far").alias("ptr"), F.col("far_root").alias("root"), (F.col("steps") + F.col("far_steps")).alias("steps"),
-        *([F.concat("far_seg", "seg").alias("seg")] if with_path else []),
+        "id", F.col("far").alias("ptr"), (F.col("steps") + F.col("far_steps")).alias("steps"), F.col("far_root").alias("root"),
+        *([F.concat("far_seg", "seg").alias("seg")] if segment else []),
     )
     return now.where("ptr IS NULL").unionByName(moved)
 
 
+def _paths(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, path) of the nodes of trees.
+
+    Whole paths would move in every round. So segments are doubled only up to the next waypoint, a
+    node whose depth is a multiple of ``WAYPOINT``; the paths of waypoints, few of all, are put
+    together by doubling again; and each node's path is written where it joins its waypoint's.
+    """
+    tree = placed.where("status = 'tree'")
+    is_waypoint = F.col("depth") % WAYPOINT == 0
+    waypoints = tree.where(is_waypoint).select("id", "depth", "parent")
+    # root is set once the pointer is a waypoint: the segment ends there
+    now = scratch.cut(
+        tree.where(~is_waypoint).select(
+            "id", F.when(F.col("depth") % WAYPOINT > 1, F.col("parent")).alias("ptr"), F.lit(0).cast("bigint").alias("steps"),
+            F.when(F.col("depth") % WAYPOINT == 1, F.col("parent")).alias("root"), F.array("id").alias("seg"),
+        )
+    )
+    length = 1
+    while length < WAYPOINT:
+        nxt = scratch.cut(_double(now))
+        scratch.drop(now)
+        now, length = nxt, 2 * length
+    own = waypoints.where("depth = 0").select("id", F.lit(None).cast(placed.schema["id"].dataType).alias("ptr"), F.col("id").alias("root"), F.array("id").alias("seg"))
+    below = waypoints.where("depth > 0").select(F.col("id").alias("w"), F.col("parent").alias("id")).join(now, "id")
+    below = below.select(F.col("w").alias("id"), F.col("root").alias("ptr"), F.lit(None).cast(placed.schema["id"].dataType).alias("root"), F.concat("seg", F.array("w")).alias("seg"))
+    chain = scratch.cut(own.unionByName(below).withColumn("steps", F.lit(0).cast("bigint")))
+    while not chain.where("ptr IS NOT NULL").isEmpty():
+        nxt = scratch.cut(_double(chain))
+        scratch.drop(chain)
+        chain = nxt
+    whole = chain.select("id", F.col("seg").alias("path"))
+    rest = now.select("id", F.col("root").alias("w"), "seg").join(whole.select(F.col("id").alias("w"), F.col("path").alias("upper")), "w")
+    return whole.unionByName(rest.select("id", F.concat("upper", "seg").alias("path")))
+
+
 def descendants(tree: DataFrame) -> DataFrame:
     """(ancestor, descendant, distance) of every pair on a path; the result is as large as all paths."""
     return tree.where("path IS NOT NULL").select("id", "depth", F.posexplode("path").alias("at", "ancestor")).where("at < depth").select(
