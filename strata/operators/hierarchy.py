@@ -63,7 +63,7 @@ def hierarchy(nodes: DataFrame, id: str, parent: str, *, with_path: bool = True,
         done = done.unionByName(rest)
     if with_path:
         placed = scratch.cut(links.join(done, "id"))
-        return placed.join(_paths(placed, scratch), "id", "left").select("id", "parent", "root", "depth", "path", "status")
+        return _with_paths(placed, scratch)
     return links.join(done, "id").select("id", "parent", "root", "depth", "status")
 
 
@@ -81,8 +81,8 @@ def _double(now: DataFrame) -> DataFrame:
     return now.where("ptr IS NULL").unionByName(moved)
 
 
-def _paths(placed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, path) of the nodes of trees.
+def _with_paths(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds the path from the root, NULL for nodes on or below cycles.
 
     Whole paths would move in every round. So segments are doubled only up to the next waypoint, a
     node whose depth is a multiple of ``WAYPOINT``; the paths of waypoints, few of all, are put
@@ -112,8 +112,13 @@ def _paths(placed: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(chain)
         chain = nxt
     whole = chain.select("id", F.col("seg").alias("path"))
-    rest = now.select("id", F.col("root").alias("w"), "seg").join(whole.select(F.col("id").alias("w"), F.col("path").alias("upper")), "w")
-    return whole.unionByName(rest.select("id", F.concat("upper", "seg").alias("path")))
+    cols = ["id", "parent", "root", "depth", "path", "status"]
+    top = whole.join(placed, "id").select(*cols)
+    # the other columns join the short segments, so that whole paths move no more
+    short = now.select("id", F.col("root").alias("w"), "seg").join(placed, "id")
+    rest = short.join(whole.select(F.col("id").alias("w"), F.col("path").alias("upper")), "w").withColumn("path", F.concat("upper", "seg"))
+    none = placed.where("status <> 'tree'").withColumn("path", F.lit(None).cast(whole.schema["path"].dataType))
+    return top.unionByName(rest.select(*cols)).unionByName(none.select(*cols))
 
 
 def descendants(tree: DataFrame) -> DataFrame:
