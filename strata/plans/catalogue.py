@@ -211,9 +211,9 @@ def replay_compacted(spark, d):
 
 
 def graph(spark, d):
-    """Commits numbered 0 to 999 over the keys of orders: k hangs below k - 1, every tenth merges k - 7, every 40th starts a branch."""
+    """Commits numbered by the keys of all orders: k hangs below k - 1, every tenth merges k - 7, every 40th starts a branch."""
     k = F.col("k")
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("k")).where("k < 1000")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
     name = lambda c: F.upper(F.sha2(c.cast("string"), 256))
     main = F.when(k % 40 == 39, F.greatest(k - 5, F.lit(0))).otherwise(k - 1)
     parents = F.when(k == 0, F.array().cast("array<string>")).when((k % 10 == 0) & (k >= 10), F.array(name(main), name(k - 7))).otherwise(F.array(name(main)))
@@ -229,10 +229,12 @@ def is_tip_flags(spark, d):
 
 
 def _two(spark, d):
-    """The sums of commits 238 and 501."""
+    """The sums of the last tip of a side branch and of the last commit."""
     import hashlib
 
-    return [hashlib.sha256(str(k).encode()).hexdigest().upper() for k in (238, 501)]
+    k = F.col("o_orderkey")
+    last, side = table(spark, d, "orders").agg(F.max(k), F.max(F.when(k % 40 == 38, k))).first()
+    return [hashlib.sha256(str(last if x is None else x).encode()).hexdigest().upper() for x in (side, last)]
 
 
 def ancestors(spark, d):
