@@ -134,6 +134,32 @@ def n_descendants(tree: DataFrame) -> DataFrame:
     return pairs.groupBy("id").agg((F.count(F.lit(1)) - 1).alias("n_descendants"))
 
 
+def loop_descendants(tree: DataFrame, *, scratch: Scratch | None = None) -> DataFrame:
+    """(ancestor, descendant, distance) of the nodes on and below cycles, which have no path.
+
+    Distances are the least ones. A node on a cycle descends from every node of it, from itself at
+    the cycle's length. The ways up double each round; pairs met again at a greater distance drop
+    out, so no round holds more than the result and its like of one step more.
+    """
+    scratch = scratch or Scratch(tree.sparkSession)
+    jump = scratch.cut(tree.where("status <> 'tree'").select("id", F.col("parent").alias("ptr")))
+    now = scratch.cut(jump.select(F.col("id").alias("key"), "id", F.lit(0).cast("bigint").alias("dist")))
+    length, n, before = 1, now.count(), -1
+    while n != before:
+        further = now.join(jump, "id").select("key", F.col("ptr").alias("id"), (F.col("dist") + length).alias("dist"))
+        nxt = scratch.cut(now.unionByName(further).groupBy("key", "id").agg(F.min("dist").alias("dist")))
+        scratch.drop(now)
+        far = jump.select(F.col("id").alias("ptr"), F.col("ptr").alias("far"))
+        jumped = scratch.cut(jump.join(far, "ptr").select("id", F.col("far").alias("ptr")))
+        scratch.drop(jump)
+        now, jump, length, n, before = nxt, jumped, 2 * length, nxt.count(), n
+    on = tree.where("status = 'cycle'").select(F.col("id").alias("key"))
+    itself = now.join(on, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("distance"))
+    return now.where("dist > 0").select(F.col("id").alias("ancestor"), F.col("key").alias("descendant"), F.col("dist").alias("distance")).unionByName(
+        itself.select(F.col("key").alias("ancestor"), F.col("key").alias("descendant"), "distance")
+    )
+
+
 def _periodic(f: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, label) of the nodes on cycles of the total function f(id, ptr); label is the cycle's least id.
 

@@ -32,18 +32,19 @@ def p1_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every commit: root, depth, path from the root, number of descendants, status."""
     scratch = Scratch(spark)
     tree = scratch.cut(_commit_tree(spark, sf_dir, scratch, True))
-    below = hierarchy.n_descendants(tree)
+    looped = hierarchy.loop_descendants(tree, scratch=scratch)
+    below = hierarchy.n_descendants(tree).unionByName(looped.groupBy(F.col("ancestor").alias("id")).agg(F.count(F.lit(1)).alias("n_descendants")))
     return tree.join(below, "id", "left").select(
         sum_text("id").alias("statesum"), sum_text("root").alias("root"), "depth",
-        F.transform("path", lambda x: F.hex(x)).alias("path"), "n_descendants", "status",
+        F.transform("path", lambda x: F.hex(x)).alias("path"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"), "status",
     )
 
 
 def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every commit with each of its descendants and their distance."""
+    """Every commit with each of its descendants and their least distance; one on a cycle descends from itself."""
     scratch = Scratch(spark)
     tree = scratch.cut(_commit_tree(spark, sf_dir, scratch, True))
-    pairs = hierarchy.descendants(tree)
+    pairs = hierarchy.descendants(tree).unionByName(hierarchy.loop_descendants(tree, scratch=scratch))
     return pairs.select(sum_text("ancestor").alias("statesum"), sum_text("descendant").alias("descendant"), "distance")
 
 

@@ -5,7 +5,7 @@ import hashlib
 import pytest
 
 from conftest import rows
-from strata.plans import catalogue
+from strata.plans import catalogue, domain
 
 N = 1300
 
@@ -56,3 +56,24 @@ def test_graph_queries_take_in_all_orders(spark, small):
     assert same("commit_listing", [(k, sha(k), len(ps)) for k, ps in up.items()])
     assert same("state_from_prefix", [(sha(k),) for k in up if sha(k).startswith("4B2")])
     assert same("merge_next_tips", [(x,) for x in sorted(map(sha, tips))[:2]])
+
+
+# ---- hierarchies ----
+
+
+def test_descendants_on_and_below_cycles(spark, tmp_path):
+    up = {i: i - 1 for i in range(1, 40)} | {0: None} | {100 + i: 100 + (i + 1) % 5 for i in range(5)} | {200: 200, 201: 200}
+    up |= {300: 102, 301: 300, 302: 301, 303: 300}
+    data = [(1, sha(k), k, [] if p is None else [sha(p)]) for k, p in up.items()]
+    c = spark.createDataFrame(data, "repo_id bigint, statesum string, number bigint, parents array<string>")
+    c.selectExpr("*", "timestamp_ntz'2024-01-01' AS ts", "timestamp_ntz'2024-01-01' AS received_at", "cast(NULL AS timestamp_ntz) AS purged_at").write.parquet(f"{tmp_path}/commits.parquet")
+    want = set()
+    for k in up:
+        seen, x, n = set(), up[k], 1
+        while x is not None and x not in seen:
+            seen.add(x)
+            want.add((sha(x), sha(k), n))
+            x, n = up[x], n + 1
+    assert rows(domain.p1_descendants(spark, str(tmp_path))) == sorted(want, key=str)
+    got = dict(rows(domain.p1_hierarchy(spark, str(tmp_path)), "statesum", "n_descendants"))
+    assert got == {sha(k): sum(a == sha(k) for a, _, _ in want) for k in up}
