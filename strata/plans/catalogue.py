@@ -308,9 +308,17 @@ def running_state_sum(spark, d):
 
 
 def verify_elements(spark, d):
-    """Stored sums of the north copy that spell no full sum or repeat another element's."""
-    n = table(spark, d, "states_north").where(sums.sum_bytes("elt_sum").isNotNull())
-    return n.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(sums.sum_bytes("elt_sum")).alias("n_sums"))
+    """Rows of the north copy whose stored sum is missing, malformed or not that of the element, with their number per repository and all its rows and sums.
+
+    A repository without any such row has one row of the counts alone. The tables sum a NULL payload like an empty one.
+    """
+    n = table(spark, d, "states_north").select("repo_id", "elt_id", "elt", "elt_sum", sums.sum_bytes("elt_sum").alias("stored"))
+    n = n.withColumn("digest", sums.element_blake2("elt_id", F.encode(F.coalesce("elt", F.lit("")), "utf-8")))
+    problem = F.when(F.col("elt_sum").isNull(), "missing").when(F.col("stored").isNull(), "malformed").when(F.col("stored") != F.col("digest"), "different")
+    n = n.withColumn("problem", problem)
+    counts = n.groupBy("repo_id").agg(F.count("stored").alias("n"), F.countDistinct("stored").alias("n_sums"), F.count("problem").alias("n_wrong"))
+    wrong = n.where("problem IS NOT NULL").select(F.col("repo_id").alias("repo"), "elt_id", "elt_sum", "problem")
+    return counts.join(wrong, F.col("repo_id").eqNullSafe(F.col("repo")), "left").drop("repo")
 
 
 def sum_spellings(spark, d):

@@ -77,3 +77,20 @@ def test_descendants_on_and_below_cycles(spark, tmp_path):
     assert rows(domain.p1_descendants(spark, str(tmp_path))) == sorted(want, key=str)
     got = dict(rows(domain.p1_hierarchy(spark, str(tmp_path)), "statesum", "n_descendants"))
     assert got == {sha(k): sum(a == sha(k) for a, _, _ in want) for k in up}
+
+
+# ---- sums ----
+
+
+def test_wrong_sums_are_found(spark, tmp_path):
+    from strata.functions.sums import blake2
+
+    good = lambda i, x: blake2(i, x.encode()).hex()
+    data = [
+        (1, 5, "a", good(5, "a")), (1, 6, "\u00e4", " " + good(6, "\u00e4").upper()), (1, -7, "b", good(-7, "c")), (1, 8, "", None), (1, 9, "x", good(9, "x")[:40]),
+        (1, 10, "y", "Z" * 64), (2, 5, "a", good(5, "a")), (2, 5, "a", good(5, "a")), (2, 6, None, good(6, "")), (3, 1, None, None), (4, 1, None, good(1, "x")),
+    ]
+    spark.createDataFrame(data, "repo_id bigint, elt_id bigint, elt string, elt_sum string").write.parquet(f"{tmp_path}/states_north.parquet")
+    got = rows(catalogue.verify_elements(spark, str(tmp_path)), "repo_id", "elt_id", "problem", "n", "n_sums", "n_wrong")
+    want = [(1, -7, "different", 3, 3, 4), (1, 8, "missing", 3, 3, 4), (1, 9, "malformed", 3, 3, 4), (1, 10, "malformed", 3, 3, 4), (2, None, None, 3, 2, 0), (3, 1, "missing", 0, 0, 1), (4, 1, "different", 1, 1, 1)]
+    assert got == sorted(want, key=str)
