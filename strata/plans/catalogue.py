@@ -298,13 +298,32 @@ def state_sum_incremental(spark, d):
 
 
 def running_state_sum(spark, d):
-    """First lane of the sum after each change of one element's log."""
+    """The sum of the state after each change of the whole log: the old element's digest goes out, the new one's comes in.
+
+    Changes are spread over blocks by ranges of their order; each block is summed by itself, and then
+    shifted by the sum of the blocks before it, of which there are as many as shuffle partitions.
+    """
     from pyspark.sql import Window
 
-    one = replay.history(log(spark, d), ["ts", "event_id"], 7)
-    x = one.withColumn("x", F.conv(F.substring(sums.element_digest("event_id", "op"), 1, 15), 16, 10).cast("bigint"))
-    w = Window.partitionBy("elt_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return x.select("step", F.bit_xor("x").over(w).alias("running"))
+    from strata.scratch import Scratch
+
+    scratch = Scratch(spark)
+    own = Window.partitionBy("elt_id").orderBy("ts", "event_id")
+    x = log(spark, d).withColumn("old", F.when(F.col("op") != "INS", sums.element_digest("elt_id", F.lag("elt").over(own))))
+    x = x.withColumn("new", F.when(F.col("op") != "DEL", sums.element_digest("elt_id", "elt")))
+    none = F.lit("0" * 64)
+    pairs = zip(sums.lanes(F.coalesce("old", none)), sums.lanes(F.coalesce("new", none)), sums.LANES)
+    x = x.select("ts", "event_id", "elt_id", *[o.bitwiseXOR(n).alias(lane) for o, n, lane in pairs])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    x = scratch.cut(x.repartitionByRange(parts, "ts", "event_id").withColumn("block", F.spark_partition_id()))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = x.groupBy("block").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(lane).alias(lane) for lane in sums.LANES])
+    shift = lambda c: F.coalesce(c.over(before), F.lit(0))
+    blocks = blocks.select("block", shift(F.sum("n")).alias("n0"), *[shift(F.bit_xor(lane)).alias(f"{lane}_0") for lane in sums.LANES])
+    inner = Window.partitionBy("block").orderBy("ts", "event_id")
+    x = x.withColumn("i", F.row_number().over(inner)).withColumns({lane: F.bit_xor(lane).over(inner.rowsBetween(Window.unboundedPreceding, 0)) for lane in sums.LANES})
+    running = sums.lanes_text(*[F.col(lane).bitwiseXOR(F.col(f"{lane}_0")) for lane in sums.LANES])
+    return x.join(F.broadcast(blocks), "block").select((F.col("n0") + F.col("i")).alias("step"), "event_id", "elt_id", running.alias("running"))
 
 
 def verify_elements(spark, d):

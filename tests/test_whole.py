@@ -94,3 +94,24 @@ def test_wrong_sums_are_found(spark, tmp_path):
     got = rows(catalogue.verify_elements(spark, str(tmp_path)), "repo_id", "elt_id", "problem", "n", "n_sums", "n_wrong")
     want = [(1, -7, "different", 3, 3, 4), (1, 8, "missing", 3, 3, 4), (1, 9, "malformed", 3, 3, 4), (1, 10, "malformed", 3, 3, 4), (2, None, None, 3, 2, 0), (3, 1, "missing", 0, 0, 1), (4, 1, "different", 1, 1, 1)]
     assert got == sorted(want, key=str)
+
+
+def test_running_sum_of_the_whole_log(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    data = [(i, r.randrange(40), r.randrange(12), r.choice(["error", "click", "view"])) for i in range(400)]
+    e = spark.createDataFrame(data, "event_id bigint, t int, user_id bigint, event_type string")
+    e.selectExpr("event_id", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, t) AS ts", "user_id", "event_type").write.parquet(f"{tmp_path}/events.parquet")
+    state, want = {}, []
+    for i, t, u, kind in sorted(data, key=lambda x: (x[1], x[0])):
+        if kind == "error" and u not in state:
+            continue
+        state.pop(u, None)
+        if kind != "error":
+            state[u] = int(hashlib.sha256(f"{u:016X}P{kind}".encode()).hexdigest(), 16)
+        total = 0
+        for x in state.values():
+            total ^= x
+        want.append((len(want) + 1, i, u, f"{total:064X}"))
+    assert rows(catalogue.running_state_sum(spark, str(tmp_path))) == sorted(want, key=str)
