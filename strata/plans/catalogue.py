@@ -355,7 +355,8 @@ def state_sum_blake2(spark, d):
 
 
 def snapshot_policy(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey < 1000")
+    """Commits of all orders after which a snapshot is due. They are one history, so one task walks them, as a stream."""
+    o = table(spark, d, "orders")
     one = o.select(F.lit(0).cast("bigint").alias("grp"), F.col("o_orderkey").alias("seq"), (1 + F.col("o_orderkey") % 40).alias("edits"))
     return policy.due(one, "grp", "seq", "edits").select("seq")
 

@@ -115,3 +115,16 @@ def test_running_sum_of_the_whole_log(spark, tmp_path):
             total ^= x
         want.append((len(want) + 1, i, u, f"{total:064X}"))
     assert rows(catalogue.running_state_sum(spark, str(tmp_path))) == sorted(want, key=str)
+
+
+# ---- policy ----
+
+
+def test_snapshots_are_due_after_later_commits_too(spark, small):
+    weight, want = 0, []
+    for k in range(N):
+        weight += 6 + k % 40
+        if weight > 150:
+            want.append((k,))
+            weight = 0
+    assert want[-1][0] > 1000 and rows(catalogue.snapshot_policy(spark, small)) == sorted(want, key=str)
