@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.layout import spread
+
 BLANKS = " \t\n\r\x0b\x0c\xa0   　"
 LANES = ("lane0", "lane1", "lane2", "lane3")
 
@@ -70,14 +72,10 @@ def lanes_text(*cols: Column | str) -> Column:
     return F.concat(*[F.lpad(F.hex(col(c)), 16, "0") for c in cols])
 
 
-def xor_lanes(a: str, b: str) -> list[Column]:
-    return [F.coalesce(F.col(f"{a}.{x}"), F.lit(0)).bitwiseXOR(F.coalesce(F.col(f"{b}.{x}"), F.lit(0))).alias(x) for x in LANES]
-
-
 def element_digest(elt_id: Column | str, payload: Column | str) -> Column:
-    """Built-in digest of (id as 8 bytes big-endian, payload); a NULL payload is marked apart from ''."""
+    """Built-in digest of (id as 8 bytes big-endian, payload) as lower-case digits; a NULL payload is marked apart from ''."""
     mark = F.when(col(payload).isNull(), F.lit("N")).otherwise(F.concat(F.lit("P"), col(payload).cast("string")))
-    return F.upper(F.sha2(F.concat(F.lpad(F.hex(col(elt_id)), 16, "0"), mark), 256))
+    return F.sha2(F.concat(F.lpad(F.hex(col(elt_id)), 16, "0"), mark), 256)
 
 
 def blake2(elt_id: int, data: bytes) -> bytes:
@@ -109,7 +107,7 @@ def state_sum(elements, digest: Column | None = None):
     """XOR of the element digests of (elt_id, elt): one row of four lanes and the count."""
     d = digest if digest is not None else element_digest("elt_id", "elt")
     return (
-        elements.select(d.alias("_d"))
+        spread(elements).select(d.alias("_d"))
         .select(*lanes(F.col("_d")))
         .agg(*[F.coalesce(F.bit_xor(x), F.lit(0)).alias(x) for x in LANES], F.count(F.lit(1)).alias("n_elements"))
         .select(lanes_text(*LANES).alias("elt_sum"), "n_elements")

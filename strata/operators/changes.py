@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.errors import IdGenFailure, PatchApply
+from strata.operators.ordered import running
 from strata.scratch import Scratch
 
 PROBES = 10_000
@@ -29,12 +30,11 @@ def only(state: DataFrame, ids: DataFrame | list[int] | None) -> DataFrame:
 
 
 def sides(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(elt_id, in_old, in_new, old, new) by one shuffle: tagged union and grouping, no join."""
-    tagged = old.select("elt_id", F.struct("elt").alias("old"), F.lit(None).cast(f"struct<elt:{new.schema['elt'].dataType.simpleString()}>").alias("new")).unionByName(
-        new.select("elt_id", F.lit(None).cast(f"struct<elt:{old.schema['elt'].dataType.simpleString()}>").alias("old"), F.struct("elt").alias("new"))
-    )
-    both = tagged.groupBy("elt_id").agg(F.first("old", ignorenulls=True).alias("old"), F.first("new", ignorenulls=True).alias("new"))
-    return both.select("elt_id", F.col("old").isNotNull().alias("in_old"), F.col("new").isNotNull().alias("in_new"), F.col("old.elt").alias("old"), F.col("new.elt").alias("new"))
+    """(elt_id, in_old, in_new, old, new): every id of either state, with what each side holds."""
+    a = old.select("elt_id", F.col("elt").alias("old"), F.lit(True).alias("in_old"))
+    b = new.select("elt_id", F.col("elt").alias("new"), F.lit(True).alias("in_new"))
+    here = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return a.join(b, "elt_id", "full").select("elt_id", here("in_old"), here("in_new"), "old", "new")
 
 
 def diff(old: DataFrame, new: DataFrame, ids: DataFrame | list[int] | None = None) -> DataFrame:
@@ -42,17 +42,15 @@ def diff(old: DataFrame, new: DataFrame, ids: DataFrame | list[int] | None = Non
 
     A keyed full outer join and a CASE. NaN equals NaN, as everywhere in Spark.
     """
-    a = only(old, ids).select(F.col("elt_id").alias("a_id"), F.col("elt").alias("a_elt"))
-    b = only(new, ids).select(F.col("elt_id").alias("b_id"), F.col("elt").alias("b_elt"))
-    j = a.join(b, F.col("a_id") == F.col("b_id"), "full")
-    op = (
-        F.when(F.col("a_id").isNull(), "INS").when(F.col("b_id").isNull(), "DEL").when(~F.col("a_elt").eqNullSafe(F.col("b_elt")), "REPL")
-    )
-    return j.select(F.coalesce("b_id", "a_id").alias("elt_id"), op.alias("op"), F.col("b_elt").alias("elt")).where("op IS NOT NULL")
+    op = F.when(~F.col("in_old"), "INS").when(~F.col("in_new"), "DEL").when(~F.col("old").eqNullSafe(F.col("new")), "REPL")
+    return sides(only(old, ids), only(new, ids)).select("elt_id", op.alias("op"), F.col("new").alias("elt")).where("op IS NOT NULL")
 
 
 def patch(base: DataFrame, changes: DataFrame) -> DataFrame:
-    """The state after the changes. Kept rows pass an anti-join only, so few changes cost no shuffle of the base."""
+    """The state after the changes. Kept rows pass an anti-join only, so few changes cost no shuffle of the base.
+
+    The changes are read twice: cut them first where they are costly to make.
+    """
     touched = changes.where("op <> 'INS'").select("elt_id")
     kept = base.select("elt_id", "elt").join(touched, "elt_id", "left_anti")
     return kept.unionByName(changes.where("op <> 'DEL'").select("elt_id", "elt"))
@@ -112,9 +110,9 @@ def free_id_near(states: list[DataFrame], start: int) -> int:
 
 
 def gaps(state: DataFrame) -> DataFrame:
-    """(elt_id): the first free id after each run of taken ones; an anti-join, no sort."""
+    """(elt_id): the first free id after each run of taken ones, 0 after the largest; an anti-join, no sort."""
     taken = state.select("elt_id")
-    nxt = taken.select((F.col("elt_id") + 1).alias("elt_id"))
+    nxt = taken.select(next_id("elt_id").alias("elt_id"))
     return nxt.join(taken, "elt_id", "left_anti")
 
 
@@ -134,17 +132,43 @@ def next_id(id: str):
     return F.when(F.col(id) == top, F.lit(-(2**63)).cast("bigint")).otherwise(F.col(id) + F.when(F.col(id) == top, 0).otherwise(1))
 
 
-def ranked_new_ids(conflicts: DataFrame, top: int) -> DataFrame:
-    """(elt_id, new_id): distinct ids above ``top``, by ascending elt_id.
+def ranked_new_ids(conflicts: DataFrame, taken: list[DataFrame], *, scratch: Scratch | None = None) -> DataFrame:
+    """(elt_id, new_id): a distinct id for each row, by ascending elt_id, that none of the states ``taken`` holds.
 
-    Numbered within ranges of elt_id, offset by the number of rows of the ranges before: one row per
-    range goes to the driver's plan, and no task sees all rows.
+    Ids are unsigned and wrap. The free ids lie in the gaps between taken ones; those above the
+    largest come first, then, should these not do, the widest gap below it. Fails with IdGenFailure
+    where neither has room.
+    """
+    scratch = scratch or Scratch(conflicts.sparkSession)
+    wanted, n, _ = scratch.counted(conflicts.select("elt_id"))
+    order = F.struct((F.col("elt_id") < 0).alias("high"), F.col("elt_id").alias("id"))
+    top = reduce(DataFrame.unionByName, [t.select("elt_id") for t in taken]).agg(F.max(order)).first()[0]
+    largest = -1 if top is None else top["id"] % ID_SPACE
+    start = (largest + 1) % ID_SPACE
+    if ID_SPACE - largest - 1 < n:
+        start = _widest_gap(taken, n)
+    numbered = running(wanted, ["elt_id"], scratch=scratch)
+    # start + pos - 1 in two's complement: wrapping, as 64-bit numbers do
+    new = F.lit(start).cast("decimal(21,0)") + F.col("pos") - 1
+    half, space = F.lit(str(ID_SPACE // 2)).cast("decimal(21,0)"), F.lit(str(ID_SPACE)).cast("decimal(21,0)")
+    return numbered.select("elt_id", F.when(new >= half, new - space).otherwise(new).cast("bigint").alias("new_id"))
+
+
+def _widest_gap(taken: list[DataFrame], n: int) -> int:
+    """The first id of a run of ``n`` free ones below the largest id taken.
+
+    Ids are looked at in blocks of 2^48, of which there are at most 65536: within each by a window,
+    from block to block by the least and the largest of each.
     """
-    spark = conflicts.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    parts = conflicts.select("elt_id").repartitionByRange(n, "elt_id").withColumn("part", F.spark_partition_id())
-    w = Window.partitionBy("part").orderBy("elt_id")
-    numbered = Scratch(spark).cut(parts.withColumn("i", F.row_number().over(w)))  # range bounds are sampled: written once, read twice
-    sizes = numbered.groupBy("part").agg(F.max("i").alias("n"))
-    offset = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return numbered.join(F.broadcast(offset.select("part", "before")), "part").select("elt_id", (F.lit(top) + F.col("before") + F.col("i")).alias("new_id"))
+    ids = reduce(DataFrame.unionByName, [t.select("elt_id") for t in taken]).distinct().withColumn("u", unsigned("elt_id"))
+    ids = ids.withColumn("block", F.floor(F.col("u") / F.lit(2**48)))
+    inner = ids.withColumn("prev", F.lag("u").over(Window.partitionBy("block").orderBy("u")))
+    wide = inner.where(F.col("u") - F.col("prev") > n).agg(F.min("prev")).first()[0]
+    if wide is not None:
+        return int(wide) + 1
+    before = -1
+    for lo, hi in ids.groupBy("block").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).orderBy("lo").select("lo", "hi").collect():
+        if lo - before > n:
+            return before + 1
+        before = int(hi)
+    raise IdGenFailure(f"no room for {n} ids")

@@ -5,12 +5,14 @@ Commits are a frame with statesum (upper-case digits), parents (array) and numbe
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.errors import MultiMatch, NoMatch
 from strata.functions.sums import BLANKS
-from strata.operators.hierarchy import way_from
+from strata.operators.hierarchy import Jumps, way_from
 from strata.scratch import Scratch
 
 MAX_NUMBER = 2**32 - 1
@@ -34,32 +36,52 @@ def with_tip_flag(commits: DataFrame) -> DataFrame:
 
 
 def known_once(commits: DataFrame) -> DataFrame:
-    """States that come more than once count once."""
-    return commits.dropDuplicates(["statesum"])
+    """States that come more than once count once: of rows that differ, that of the greatest number, then of the greatest other columns."""
+    others = [c for c in commits.columns if c != "statesum"]
+    first = [c for c in others if c == "number"]
+    best = commits.groupBy("statesum").agg(F.max(F.struct(*first, *[c for c in others if c not in first])).alias("_one"))
+    return best.select(*[F.col("statesum") if c == "statesum" else F.col(f"_one.{c}").alias(c) for c in commits.columns])
 
 
 def ancestors(commits: DataFrame, starts: DataFrame, *, scratch: Scratch | None = None) -> DataFrame:
     """(label, statesum): all ancestors, themselves included, of starts (label, statesum).
 
-    First parents are followed by doubling; only where they meet further parents of merges a new
-    round begins, so there are as many rounds as merges are nested, not as histories are long.
+    Every commit has a main parent, the one of the greatest number (the first of equals), and ways
+    along main parents are followed by doubling. A new round begins only from other parents that no
+    way has met yet, so there are as many rounds as merges of side branches are nested, not as
+    histories are long, whichever parent continues them. Any numbers give the same result.
     """
     scratch = scratch or Scratch(commits.sparkSession)
-    e = scratch.cut(edges(commits).join(commits.select(F.col("statesum").alias("parent")), "parent", "left_semi"))
-    first = e.where("ord = 0").select(F.col("child").alias("id"), "parent")
-    more = e.where("ord > 0")
-    seen = None
-    new = starts.join(commits.select("statesum"), "statesum", "left_semi").select(F.col("label").alias("key"), F.col("statesum").alias("id"))
+    have = commits.select(F.col("statesum").alias("parent"), F.coalesce("number", F.lit(-1)).alias("pn"))
+    e = scratch.cut(edges(commits).join(have, "parent"))
+    main = scratch.cut(e.groupBy(F.col("child").alias("id")).agg(F.max_by("parent", F.struct("pn", -F.col("ord"))).alias("parent")))
+    more = e.join(main.withColumnsRenamed({"id": "child", "parent": "main"}), "child").where("parent <> main").select("child", "parent").distinct()
+    more, n_more, _ = scratch.counted(more)
+    jumps, seen = Jumps(main, scratch), []
+    new = starts.join(commits.select("statesum").distinct(), "statesum", "left_semi").select(F.col("label").alias("key"), F.col("statesum").alias("id")).distinct()
     while True:
-        reached = way_from(new, first, scratch=scratch).select("key", "id").distinct()
-        if seen is not None:
-            reached = reached.join(seen, ["key", "id"], "left_anti")
-        reached = scratch.cut(reached)
-        seen = reached if seen is None else scratch.cut(seen.unionByName(reached))
-        new = reached.join(more, F.col("id") == F.col("child")).select("key", F.col("parent").alias("id")).distinct().join(seen, ["key", "id"], "left_anti")
-        new = scratch.cut(new)
-        if new.isEmpty():
-            return seen.select(F.col("key").alias("label"), F.col("id").alias("statesum"))
+        # two new starts of one label may lie on one way
+        seen.append(scratch.cut(way_from(new, jumps, seen=seen, scratch=scratch).select("key", "id").distinct()))
+        n = 0
+        if n_more:
+            new = seen[-1].join(more, F.col("id") == F.col("child")).select("key", F.col("parent").alias("id")).distinct()
+            new, n, _ = scratch.counted(new.join(reduce(DataFrame.unionByName, seen), ["key", "id"], "left_anti"))
+        if not n:
+            return reduce(DataFrame.unionByName, seen).select(F.col("key").alias("label"), F.col("id").alias("statesum"))
+
+
+def latest_common(commits: DataFrame, pairs: DataFrame, *, scratch: Scratch | None = None) -> DataFrame:
+    """(label, statesum, number): for each of pairs (label, one, two) the latest commit that both descend from, if any.
+
+    Latest by number, then by sum. All pairs are followed at once.
+    """
+    starts = pairs.select(F.col("label").alias("pair"), F.explode(F.array("one", "two")).alias("statesum")).distinct()
+    starts = starts.select(F.struct("pair", F.col("statesum").alias("start")).alias("label"), "statesum")
+    above = ancestors(commits, starts, scratch=scratch).select(F.col("label.pair").alias("label"), "statesum")
+    n = pairs.select("label", F.when(F.col("one") == F.col("two"), 1).otherwise(2).alias("n"))
+    shared = above.groupBy("label", "statesum").agg(F.count(F.lit(1)).alias("met")).join(n, "label").where("met = n")
+    found = shared.join(commits.select("statesum", "number"), "statesum")
+    return found.groupBy("label").agg(F.max(F.struct("number", "statesum")).alias("x")).select("label", "x.statesum", "x.number")
 
 
 def common_ancestors(commits: DataFrame, one: str, two: str, *, scratch: Scratch | None = None) -> DataFrame:
@@ -104,11 +126,9 @@ def listing(commits: DataFrame) -> DataFrame:
     return commits.orderBy("number", "statesum")
 
 
-def first_two_tips(commits: DataFrame) -> DataFrame:
-    """The tips that a merge takes next: the two least sums."""
-    return tips(commits).orderBy("statesum").limit(2)
-
-
-def latest_per_group(commits: DataFrame, group: str) -> DataFrame:
-    w = Window.partitionBy(group).orderBy(F.col("number").desc(), F.col("statesum").desc())
-    return commits.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def first_two_tips(commits: DataFrame, by: str | None = None) -> DataFrame:
+    """The tips that a merge takes next: the two least sums, of each group where ``by`` names a column."""
+    if by is None:
+        return tips(commits).orderBy("statesum").limit(2)
+    w = Window.partitionBy(by).orderBy("statesum")
+    return tips(commits).withColumn("_rn", F.row_number().over(w)).where("_rn <= 2").drop("_rn")

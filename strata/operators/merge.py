@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from strata.errors import NotSolved
 from strata.operators.changes import only, ranked_new_ids
+from strata.scratch import Scratch
 
 OUTCOMES = ("A", "B", "VALUE", "DELETE", "RENAME", "FAIL")
 
@@ -135,10 +136,17 @@ def summary(found: DataFrame) -> DataFrame:
     )
 
 
-def with_new_ids(found: DataFrame, top: int) -> DataFrame:
-    """Adds new_id for the conflicts that are renamed with both sides present."""
+def with_new_ids(found: DataFrame, taken: list[DataFrame], *, scratch: Scratch | None = None) -> DataFrame:
+    """Adds new_id for the conflicts that are renamed with both sides present; ``taken`` are the states merged and their ancestor.
+
+    The conflicts are written once: the check, the counts and both change sets read them from there.
+    """
+    scratch = scratch or Scratch(found.sparkSession)
+    found, _, n = scratch.counted(found, both=(F.col("outcome") == "RENAME") & F.col("pa") & F.col("pb"))
+    if not n["both"]:
+        return found.withColumn("new_id", F.lit(None).cast("bigint"))
     both = found.where("outcome = 'RENAME' AND pa AND pb")
-    return found.join(ranked_new_ids(both, top), "elt_id", "left")
+    return found.join(ranked_new_ids(both, taken, scratch=scratch), "elt_id", "left")
 
 
 def changes_against(named: DataFrame, side: str) -> DataFrame:
@@ -146,6 +154,11 @@ def changes_against(named: DataFrame, side: str) -> DataFrame:
 
     Where both sides are kept, A's element keeps the id and B's gets the new one, seen from either.
     """
+    return named.select(F.explode(_changes(named, side)).alias("x")).select("x.elt_id", "x.op", "x.elt")
+
+
+def _changes(named: DataFrame, side: str) -> Column:
+    """The changes of one conflict, as an array; NULL where there are none."""
     mine, other = ("a", "b") if side == "A" else ("b", "a")
     pm, po = F.col(f"p{mine}"), F.col(f"p{other}")
     m, o, value = F.col(mine), F.col(other), F.col("value")
@@ -168,13 +181,12 @@ def changes_against(named: DataFrame, side: str) -> DataFrame:
     if side == "B":
         both_kept = F.array(change(F.col("elt_id"), "REPL", F.col("a")), change(F.col("new_id"), "INS", F.col("b")))
     rename = F.when(pm & po, both_kept).when(~pm, F.array(change(F.col("elt_id"), "INS", o)))
-    chosen = (
+    return (
         F.when(F.col("outcome") == ("B" if side == "A" else "A"), take_other)
         .when(F.col("outcome") == "VALUE", take_value)
         .when((F.col("outcome") == "DELETE") & pm, F.array(change(F.col("elt_id"), "DEL", nothing)))
         .when(F.col("outcome") == "RENAME", rename)
     )
-    return named.select(F.explode(chosen).alias("x")).select("x.elt_id", "x.op", "x.elt")
 
 
 @dataclass(frozen=True)
@@ -187,10 +199,12 @@ class MergeCommit:
 
 
 def make_commit(named: DataFrame) -> MergeCommit:
-    """Relative to A only if that takes fewer changes; raises NotSolved while any entry fails."""
-    if named.where("outcome = 'FAIL'").limit(1).count():
+    """Relative to A only if that takes fewer changes; raises NotSolved while any entry fails.
+
+    One pass over the conflicts counts what is unsolved and how many changes either side takes.
+    """
+    n = lambda side: F.coalesce(F.sum(F.coalesce(F.size(_changes(named, side)), F.lit(0))), F.lit(0))
+    failed, n_a, n_b = named.agg(F.count_if(F.col("outcome") == "FAIL"), n("A"), n("B")).first()
+    if failed:
         raise NotSolved("conflicts are left")
-    to_a, to_b = changes_against(named, "A"), changes_against(named, "B")
-    counts = {r[0]: r[1] for r in to_a.select(F.lit("A").alias("s")).unionAll(to_b.select(F.lit("B").alias("s"))).groupBy("s").count().collect()}
-    n_a, n_b = counts.get("A", 0), counts.get("B", 0)
-    return MergeCommit(True, to_a, n_a) if n_a < n_b else MergeCommit(False, to_b, n_b)
+    return MergeCommit(True, changes_against(named, "A"), n_a) if n_a < n_b else MergeCommit(False, changes_against(named, "B"), n_b)

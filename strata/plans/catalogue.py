@@ -1,7 +1,7 @@
 """Queries over the star-schema tables, one per operator of the versioned store.
 
-States are derived from orders: C is the ancestor, A and B two descendants. Commits come from
-events (an element per user) and, as a graph, from the keys of nation and orders.
+States are derived from orders: C is the ancestor, A and B two descendants. A log comes from events
+(an element per user), the graph of commits from commits.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from strata import policy
 from strata.functions import sequences, sums, text
 from strata.operators import changes, dag, merge, replay
+from strata.operators.ordered import running
+from strata.scratch import Scratch
 from strata.sources import codec, files
 
-RENAME_TOP = 1_000_000_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -91,7 +91,8 @@ def diff_key_filtered(spark, d):
 
 
 def patch_orders(spark, d):
-    return changes.patch(state(spark, d, "C"), changes.diff(state(spark, d, "C"), state(spark, d, "B")))
+    delta = Scratch(spark).cut(changes.diff(state(spark, d, "C"), state(spark, d, "B")))
+    return changes.patch(state(spark, d, "C"), delta)
 
 
 def patch_roundtrip(spark, d):
@@ -153,7 +154,7 @@ def merge_solve_one(spark, d):
 
 
 def _named(spark, d):
-    return merge.with_new_ids(merge.solve(_found(spark, d), FULL), RENAME_TOP)
+    return merge.with_new_ids(merge.solve(_found(spark, d), FULL), three(spark, d))
 
 
 def merge_changes_vs_a(spark, d):
@@ -170,7 +171,7 @@ def merge_pick_parent(spark, d):
 
 
 def merge_result(spark, d):
-    return changes.patch(state(spark, d, "A"), merge_changes_vs_a(spark, d))
+    return changes.patch(state(spark, d, "A"), Scratch(spark).cut(merge_changes_vs_a(spark, d)))
 
 
 # ---- replay ----
@@ -192,7 +193,9 @@ def replay_latest(spark, d):
 
 
 def replay_at_commit(spark, d):
-    return replay.replay(log(spark, d), ["ts", "event_id"], until=F.col("event_id") < 600)
+    """The state at three fifths of the log."""
+    last = table(spark, d, "events").agg(F.max("event_id")).first()[0] or 0
+    return replay.replay(log(spark, d), ["ts", "event_id"], until=F.col("event_id") < last * 3 // 5)
 
 
 def replay_history_of_element(spark, d):
@@ -211,59 +214,61 @@ def replay_compacted(spark, d):
 
 
 def graph(spark, d):
-    """Commits numbered by the keys of all orders: k hangs below k - 1, every tenth merges k - 7, every 40th starts a branch."""
-    k = F.col("k")
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
-    name = lambda c: F.upper(F.sha2(c.cast("string"), 256))
-    main = F.when(k % 40 == 39, F.greatest(k - 5, F.lit(0))).otherwise(k - 1)
-    parents = F.when(k == 0, F.array().cast("array<string>")).when((k % 10 == 0) & (k >= 10), F.array(name(main), name(k - 7))).otherwise(F.array(name(main)))
-    return rows.select(name(k).alias("statesum"), parents.alias("parents"), k.alias("number"), (k % 4).cast("int").alias("ext_flags"))
+    """All commits, each once: statesum is the leading 32 digits that always name it, full its whole sum; parents likewise short."""
+    c = table(spark, d, "commits").select(
+        F.hex(sums.state_key("statesum")).alias("statesum"), sums.sum_text(sums.sum_bytes("statesum")).alias("full"), "repo_id", "number", "ext_flags",
+        F.when(F.size("parents") > 0, F.transform("parents", lambda p: F.hex(sums.state_key(p)))).alias("parents"),
+    )
+    one = c.where("full IS NOT NULL").groupBy("statesum").agg(*[F.max(x).alias(x) for x in ("full", "repo_id", "number", "ext_flags", "parents")])
+    return Scratch(spark).cut(one)
 
 
 def tips(spark, d):
-    return dag.tips(graph(spark, d)).select("statesum", "number")
+    return dag.tips(graph(spark, d)).select(F.col("full").alias("statesum"), "number")
 
 
 def is_tip_flags(spark, d):
-    return dag.with_tip_flag(graph(spark, d)).select("statesum", "is_tip")
-
-
-def _two(spark, d):
-    """The sums of the last tip of a side branch and of the last commit."""
-    import hashlib
-
-    k = F.col("o_orderkey")
-    last, side = table(spark, d, "orders").agg(F.max(k), F.max(F.when(k % 40 == 38, k))).first()
-    return [hashlib.sha256(str(last if x is None else x).encode()).hexdigest().upper() for x in (side, last)]
+    return dag.with_tip_flag(graph(spark, d)).select(F.col("full").alias("statesum"), "is_tip")
 
 
 def ancestors(spark, d):
-    start = spark.createDataFrame([("x", _two(spark, d)[0])], "label string, statesum string")
-    return dag.ancestors(graph(spark, d), start).select("statesum")
+    """All ancestors of the head of each repository, through parents at any position."""
+    heads = table(spark, d, "repo_heads").select(F.col("repo_id").alias("label"), F.hex(sums.state_key("head")).alias("statesum"))
+    g = graph(spark, d)
+    found = dag.ancestors(g, heads.where("label IS NOT NULL AND statesum IS NOT NULL"))
+    return found.join(g.select("statesum", "full"), "statesum").select(F.col("label").alias("repo_id"), F.col("full").alias("statesum"))
 
 
 def common_ancestor(spark, d):
-    return dag.common_ancestors(graph(spark, d), *_two(spark, d)).limit(1).select("statesum", "number")
+    """Of each repository with several tips, the latest common ancestor of the two that a merge would take next."""
+    scratch = Scratch(spark)
+    g = graph(spark, d)
+    two = dag.first_two_tips(g, "repo_id").groupBy(F.col("repo_id").alias("label")).agg(F.min("statesum").alias("one"), F.max("statesum").alias("two"))
+    found = dag.latest_common(g, scratch.cut(two.where("one <> two")), scratch=scratch)
+    return found.join(g.select("statesum", "full"), "statesum").select(F.col("label").alias("repo_id"), F.col("full").alias("statesum"), "number")
 
 
 def commit_numbers(spark, d):
-    return dag.numbers(graph(spark, d))
+    g = graph(spark, d)
+    return dag.numbers(g).join(g.select("statesum", "full"), "statesum").select(F.col("full").alias("statesum"), "number", "expected", "ok")
 
 
 def merged_flags(spark, d):
-    return dag.merged_flags(graph(spark, d))
+    g = graph(spark, d)
+    return dag.merged_flags(g).join(g.select("statesum", "full"), "statesum").select(F.col("full").alias("statesum"), "inherited")
 
 
 def commit_listing(spark, d):
-    return dag.listing(graph(spark, d)).select("number", "statesum", F.size("parents").alias("n_parents"))
+    return dag.listing(graph(spark, d)).select("number", F.col("full").alias("statesum"), F.coalesce(F.size(F.array_compact("parents")), F.lit(0)).alias("n_parents"))
 
 
 def state_from_prefix(spark, d):
-    return dag.by_prefix(graph(spark, d), "4b 2").select("statesum")
+    return dag.by_prefix(graph(spark, d).withColumn("statesum", F.col("full")), "4b 2").select("statesum")
 
 
 def merge_next_tips(spark, d):
-    return dag.first_two_tips(graph(spark, d)).select("statesum")
+    """The two tips of each repository that a merge takes next."""
+    return dag.first_two_tips(graph(spark, d), "repo_id").select("repo_id", F.col("full").alias("statesum"))
 
 
 # ---- sums ----
@@ -298,32 +303,16 @@ def state_sum_incremental(spark, d):
 
 
 def running_state_sum(spark, d):
-    """The sum of the state after each change of the whole log: the old element's digest goes out, the new one's comes in.
-
-    Changes are spread over blocks by ranges of their order; each block is summed by itself, and then
-    shifted by the sum of the blocks before it, of which there are as many as shuffle partitions.
-    """
+    """The sum of the state after each change of the whole log: the old element's digest goes out, the new one's comes in."""
     from pyspark.sql import Window
 
-    from strata.scratch import Scratch
-
-    scratch = Scratch(spark)
     own = Window.partitionBy("elt_id").orderBy("ts", "event_id")
     x = log(spark, d).withColumn("old", F.when(F.col("op") != "INS", sums.element_digest("elt_id", F.lag("elt").over(own))))
     x = x.withColumn("new", F.when(F.col("op") != "DEL", sums.element_digest("elt_id", "elt")))
     none = F.lit("0" * 64)
-    pairs = zip(sums.lanes(F.coalesce("old", none)), sums.lanes(F.coalesce("new", none)), sums.LANES)
-    x = x.select("ts", "event_id", "elt_id", *[o.bitwiseXOR(n).alias(lane) for o, n, lane in pairs])
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    x = scratch.cut(x.repartitionByRange(parts, "ts", "event_id").withColumn("block", F.spark_partition_id()))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = x.groupBy("block").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(lane).alias(lane) for lane in sums.LANES])
-    shift = lambda c: F.coalesce(c.over(before), F.lit(0))
-    blocks = blocks.select("block", shift(F.sum("n")).alias("n0"), *[shift(F.bit_xor(lane)).alias(f"{lane}_0") for lane in sums.LANES])
-    inner = Window.partitionBy("block").orderBy("ts", "event_id")
-    x = x.withColumn("i", F.row_number().over(inner)).withColumns({lane: F.bit_xor(lane).over(inner.rowsBetween(Window.unboundedPreceding, 0)) for lane in sums.LANES})
-    running = sums.lanes_text(*[F.col(lane).bitwiseXOR(F.col(f"{lane}_0")) for lane in sums.LANES])
-    return x.join(F.broadcast(blocks), "block").select((F.col("n0") + F.col("i")).alias("step"), "event_id", "elt_id", running.alias("running"))
+    pairs = zip(sums.LANES, sums.lanes(F.coalesce("old", none)), sums.lanes(F.coalesce("new", none)))
+    x = running(x.select("ts", "event_id", "elt_id", "old", "new"), ["ts", "event_id"], xors={lane: o.bitwiseXOR(n) for lane, o, n in pairs})
+    return x.select(F.col("pos").alias("step"), "event_id", "elt_id", sums.lanes_text(*sums.LANES).alias("running"))
 
 
 def verify_elements(spark, d):
@@ -355,10 +344,12 @@ def state_sum_blake2(spark, d):
 
 
 def snapshot_policy(spark, d):
-    """Commits of all orders after which a snapshot is due. They are one history, so one task walks them, as a stream."""
-    o = table(spark, d, "orders")
-    one = o.select(F.lit(0).cast("bigint").alias("grp"), F.col("o_orderkey").alias("seq"), (1 + F.col("o_orderkey") % 40).alias("edits"))
-    return policy.due(one, "grp", "seq", "edits").select("seq")
+    """Commits of each repository, in order of number and sum, after which a snapshot is due; edits are the elements changed."""
+    g = graph(spark, d)
+    edits = table(spark, d, "changes").select(F.hex(sums.state_key("statesum")).alias("statesum"), "elt_id").where("statesum IS NOT NULL AND elt_id IS NOT NULL")
+    edits = edits.distinct().groupBy("statesum").agg(F.count(F.lit(1)).alias("edits"))
+    rows = g.join(edits, "statesum", "left").select("repo_id", F.struct(F.coalesce("number", F.lit(-1)).alias("number"), "full").alias("seq"), "edits")
+    return policy.due(rows, "repo_id", "seq", "edits").select("repo_id", F.col("seq.full").alias("statesum"))
 
 
 def _files(spark, d):

@@ -1,5 +1,7 @@
 """The catalogue's queries in DuckDB's SQL; those without an entry can't be said in SQL."""
 
+from strata.plans.domain_sql import COMMITS, DIGITS
+
 STATES = """
   c0 AS (SELECT o_orderkey AS elt_id, o_totalprice AS elt FROM orders),
   c AS (SELECT * FROM c0 WHERE elt_id % 7 <> 0),
@@ -25,7 +27,8 @@ CHAINED = "CASE WHEN a_kept THEN 'B' WHEN b_kept THEN 'A' WHEN NOT pc THEN 'RENA
 FULL = CHAINED.replace("'FAIL'", "'A'")
 NAMED = f"""{JOINED},
   o AS (SELECT *, {FULL} AS outcome FROM s),
-  r AS (SELECT elt_id, 1000000000 + row_number() OVER (ORDER BY elt_id) AS new_id FROM o WHERE outcome = 'RENAME' AND pa AND pb),
+  top AS (SELECT max(elt_id) AS top FROM (SELECT elt_id FROM a UNION ALL SELECT elt_id FROM b UNION ALL SELECT elt_id FROM c)),
+  r AS (SELECT elt_id, top + row_number() OVER (ORDER BY elt_id) AS new_id FROM o, top WHERE outcome = 'RENAME' AND pa AND pb),
   named AS (SELECT o.*, r.new_id FROM o LEFT JOIN r USING (elt_id))"""
 VS_A = """SELECT elt_id, CASE WHEN pa AND pb THEN 'REPL' WHEN pb THEN 'INS' ELSE 'DEL' END AS op, CASE WHEN pb THEN b END AS elt FROM named WHERE outcome = 'B'
   UNION ALL SELECT CASE WHEN pa THEN new_id ELSE elt_id END, 'INS', b FROM named WHERE outcome = 'RENAME' AND pb"""
@@ -45,13 +48,14 @@ LOG = """
                CASE WHEN event_type <> 'error' THEN event_type END AS elt, ts, event_id FROM e),
   log AS (SELECT * FROM l WHERE op IS NOT NULL)
 """
-GRAPH = """
-  k AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 40 = 39 THEN greatest(o_orderkey - 5, 0) ELSE o_orderkey - 1 END AS main FROM orders WHERE o_orderkey < 1000),
-  g AS (SELECT k, upper(sha256(CAST(k AS VARCHAR))) AS statesum, CAST(k % 4 AS INT) AS ext_flags,
-          CASE WHEN k = 0 THEN [] WHEN k % 10 = 0 THEN [main, k - 7] ELSE [main] END AS up FROM k),
-  ed AS (SELECT k, unnest(up) AS p FROM g)
+D = DIGITS.format
+GRAPH = f"""{COMMITS},
+  fl AS (SELECT left({D('statesum')}, 32) AS id, max(ext_flags) AS ext_flags FROM commits WHERE length({D('statesum')}) = 64 GROUP BY 1),
+  g AS (SELECT cm.*, fl.ext_flags FROM cm JOIN fl USING (id)),
+  ed AS (SELECT e.id, e.pos, e.parent FROM edges e JOIN g ON g.id = e.id WHERE length(e.parent) = 32)
 """
-UP = """anc AS (SELECT {0} AS s, {0} AS k UNION SELECT anc.s, ed.p FROM anc JOIN ed ON ed.k = anc.k)"""
+TIPS = "tip AS (SELECT * FROM g WHERE id NOT IN (SELECT parent FROM ed)), two AS (SELECT * FROM tip QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY id) <= 2)"
+UP = """up AS (SELECT {0} UNION SELECT up.label, ed.parent FROM up JOIN ed ON ed.id = up.id JOIN g ON g.id = ed.parent)"""
 LINE = """li AS (SELECT l_orderkey AS elt_id, concat_ws('|', CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), l_returnflag) AS elt FROM lineitem)"""
 XOR = """SELECT {0} AS elt_sum{1} FROM (SELECT {2}, count(*) AS n FROM (SELECT sha256(concat(lpad(upper(to_hex(elt_id)), 16, '0'), 'P', elt)) AS h FROM {3}))""".format(
     "concat(" + ", ".join(f"lpad(upper(to_hex(x{i})), 16, '0')" for i in range(4)) + ")",
@@ -102,39 +106,43 @@ SQL = {
   UNION ALL SELECT elt_id, elt FROM v WHERE op <> 'DEL'""",
     "replay_latest": f"""WITH {LOG}, x AS (SELECT *, row_number() OVER (PARTITION BY elt_id ORDER BY ts DESC, event_id DESC) AS rn FROM log)
   SELECT elt_id, elt FROM x WHERE rn = 1 AND op <> 'DEL'""",
-    "replay_at_commit": f"""WITH {LOG}, x AS (SELECT *, row_number() OVER (PARTITION BY elt_id ORDER BY ts DESC, event_id DESC) AS rn FROM log WHERE event_id < 600)
+    "replay_at_commit": f"""WITH {LOG}, x AS (SELECT *, row_number() OVER (PARTITION BY elt_id ORDER BY ts DESC, event_id DESC) AS rn FROM log WHERE event_id < (SELECT max(event_id) * 3 // 5 FROM events))
   SELECT elt_id, elt FROM x WHERE rn = 1 AND op <> 'DEL'""",
     "replay_history_of_element": f"WITH {LOG} SELECT elt_id, CAST(row_number() OVER (ORDER BY ts, event_id) AS INT) AS step, op, elt, event_id FROM log WHERE elt_id = 7",
     "replay_preconditions": "SELECT CAST(0 AS BIGINT) AS n_broken",
     "replay_compacted": f"""WITH {LOG}, x AS (SELECT elt_id, arg_min(op, (ts, event_id)) AS f, arg_max(op, (ts, event_id)) AS l, max((ts, event_id)) AS m FROM log GROUP BY 1)
   SELECT x.elt_id, CASE WHEN f = 'INS' THEN 'INS' WHEN l = 'DEL' THEN 'DEL' ELSE 'REPL' END AS op, log.elt FROM x JOIN log ON log.elt_id = x.elt_id AND (log.ts, log.event_id) = x.m
   WHERE NOT (f = 'INS' AND l = 'DEL')""",
-    "tips": f"WITH {GRAPH} SELECT statesum, k AS number FROM g WHERE k NOT IN (SELECT p FROM ed)",
-    "is_tip_flags": f"WITH {GRAPH} SELECT statesum, k NOT IN (SELECT p FROM ed) AS is_tip FROM g",
-    "ancestors": f"WITH RECURSIVE {GRAPH}, {UP.format(238)} SELECT g.statesum FROM anc JOIN g ON g.k = anc.k",
-    "common_ancestor": f"""WITH RECURSIVE {GRAPH}, {UP.format(238)}, {UP.format(501).replace('anc', 'anc2')}
-  SELECT g.statesum, g.k AS number FROM g WHERE k IN (SELECT k FROM anc) AND k IN (SELECT k FROM anc2) ORDER BY k DESC LIMIT 1""",
-    "commit_numbers": f"""WITH {GRAPH}, t AS (SELECT k, max(p) + 1 AS expected FROM ed GROUP BY k)
-  SELECT statesum, g.k AS number, coalesce(expected, 0) AS expected, g.k = coalesce(expected, 0) AS ok FROM g LEFT JOIN t USING (k)""",
-    "merged_flags": f"WITH {GRAPH} SELECT g.statesum, CAST(bit_or(CAST(p % 4 AS INT)) AS INT) AS inherited FROM g JOIN ed USING (k) GROUP BY 1",
-    "commit_listing": f"WITH {GRAPH} SELECT k AS number, statesum, CAST(len(up) AS INT) AS n_parents FROM g",
+    "tips": f"WITH {GRAPH}, {TIPS} SELECT statesum, number FROM tip",
+    "is_tip_flags": f"WITH {GRAPH} SELECT statesum, id NOT IN (SELECT parent FROM ed) AS is_tip FROM g",
+    "ancestors": f"""WITH RECURSIVE {GRAPH}, {UP.format(f"repo_id AS label, left({D('head')}, 32) AS id FROM repo_heads")}
+  SELECT label AS repo_id, g.statesum FROM up JOIN g USING (id)""",
+    "common_ancestor": f"""WITH RECURSIVE {GRAPH}, {TIPS}, {UP.format("struct_pack(r := repo_id, start := id) AS label, id FROM two WHERE repo_id IN (SELECT repo_id FROM two GROUP BY 1 HAVING count(*) = 2)")},
+  met AS (SELECT label.r AS repo_id, id FROM up GROUP BY ALL HAVING count(*) = 2)
+  SELECT m.repo_id, g.statesum, g.number FROM met m JOIN g USING (id) QUALIFY row_number() OVER (PARTITION BY m.repo_id ORDER BY g.number DESC NULLS LAST, g.id DESC) = 1""",
+    "commit_numbers": f"""WITH {GRAPH}, t AS (SELECT ed.id, max(p.number) + 1 AS expected FROM ed JOIN g p ON p.id = ed.parent GROUP BY 1)
+  SELECT statesum, number, coalesce(expected, 0) AS expected, number = coalesce(expected, 0) AS ok FROM g LEFT JOIN t USING (id)""",
+    "merged_flags": f"WITH {GRAPH} SELECT c.statesum, bit_or(p.ext_flags) AS inherited FROM ed JOIN g p ON p.id = ed.parent JOIN g c ON c.id = ed.id GROUP BY 1",
+    "commit_listing": f"WITH {GRAPH} SELECT number, statesum, CAST((SELECT count(*) FROM ed WHERE ed.id = g.id) AS INT) AS n_parents FROM g",
     "state_from_prefix": f"WITH {GRAPH} SELECT statesum FROM g WHERE starts_with(statesum, '4B2')",
-    "merge_next_tips": f"WITH {GRAPH} SELECT statesum FROM g WHERE k NOT IN (SELECT p FROM ed) ORDER BY statesum LIMIT 2",
+    "merge_next_tips": f"WITH {GRAPH}, {TIPS} SELECT repo_id, statesum FROM two",
     "state_sum": f"WITH {LINE} " + XOR.format(more=", n AS n_elements", rows="li"),
     "state_sum_incremental": f"WITH {STATES}, t AS (SELECT elt_id, CAST(CAST(elt AS DECIMAL(18,2)) AS VARCHAR) AS elt FROM a) " + XOR.format(more="", rows="t"),
-    "running_state_sum": f"""WITH {LOG}, x AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS step,
-    CAST(concat('0x', substr(sha256(concat(lpad(upper(to_hex(event_id)), 16, '0'), 'P', op)), 1, 15)) AS BIGINT) AS x FROM log WHERE elt_id = 7)
-  SELECT CAST(step AS INT) AS step, bit_xor(x) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING) AS running FROM x""",
-    "verify_elements": """SELECT repo_id, count(*) AS n, count(DISTINCT s) AS n_sums FROM (SELECT repo_id, upper(regexp_replace(elt_sum, '\\s', '', 'g')) AS s FROM states_north)
-  WHERE length(s) = 64 GROUP BY 1""",
+    "running_state_sum": f"""WITH {LOG}, o AS (SELECT *, lag(elt) OVER (PARTITION BY elt_id ORDER BY ts, event_id) AS was FROM log),
+  h AS (SELECT ts, event_id, elt_id, CASE WHEN op <> 'INS' THEN sha256(concat(lpad(upper(to_hex(elt_id)), 16, '0'), CASE WHEN was IS NULL THEN 'N' ELSE 'P' || was END)) ELSE repeat('0', 64) END AS old,
+    CASE WHEN op <> 'DEL' THEN sha256(concat(lpad(upper(to_hex(elt_id)), 16, '0'), 'P', elt)) ELSE repeat('0', 64) END AS new FROM o)
+  SELECT row_number() OVER w AS step, event_id, elt_id, concat({", ".join(f"lpad(upper(to_hex(bit_xor(xor(CAST(concat('0x', substr(old, {1 + 16 * i}, 16)) AS UBIGINT), CAST(concat('0x', substr(new, {1 + 16 * i}, 16)) AS UBIGINT))) OVER w)), 16, '0')" for i in range(4))}) AS running
+  FROM h WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
     "sum_spellings": """SELECT s AS statesum, rtrim(regexp_replace(s, '(..)', '\\1 ', 'g')) AS pairs, left(s, 32) AS short
   FROM (SELECT DISTINCT upper(regexp_replace(statesum, '\\s', '', 'g')) AS s FROM commits)""",
-    "snapshot_policy": """WITH RECURSIVE w AS (
-    SELECT CAST(-1 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS weight, false AS due
+    "snapshot_policy": f"""WITH RECURSIVE {GRAPH},
+  n AS (SELECT left({D('statesum')}, 32) AS id, count(DISTINCT elt_id) AS edits FROM changes GROUP BY 1),
+  o AS (SELECT repo_id, statesum, 5 + coalesce(edits, 0) AS w, row_number() OVER (PARTITION BY repo_id ORDER BY coalesce(number, -1), statesum) AS i FROM g LEFT JOIN n USING (id)),
+  walk AS (
+    SELECT repo_id, CAST(0 AS BIGINT) AS i, CAST('' AS VARCHAR) AS statesum, CAST(0 AS BIGINT) AS weight FROM o WHERE i = 1
     UNION ALL
-    SELECT seq + 1, CASE WHEN weight + 6 + (seq + 1) % 40 > 150 THEN 0 ELSE weight + 6 + (seq + 1) % 40 END, weight + 6 + (seq + 1) % 40 > 150
-    FROM w WHERE seq + 1 < (SELECT least(1000, count(*)) FROM orders))
-  SELECT seq FROM w WHERE due""",
+    SELECT o.repo_id, o.i, o.statesum, CASE WHEN weight > 150 THEN 0 ELSE weight END + o.w FROM walk JOIN o ON o.repo_id = walk.repo_id AND o.i = walk.i + 1)
+  SELECT repo_id, statesum FROM walk WHERE weight > 150""",
     "gen_arithmetic": SEQ.format(x="n_nationkey + 0.5::DOUBLE * i"),
     "gen_geometric": SEQ.format(x="3.0::DOUBLE * pow(0.5::DOUBLE, i)"),
     "gen_power": SEQ.format(x="CAST(i * i AS DOUBLE)"),

@@ -20,30 +20,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---- 1: hierarchies -------------------------------------------------------------------------
 
 
-def _commit_tree(spark: SparkSession, sf_dir: str, scratch: Scratch, with_path: bool) -> DataFrame:
+def _commit_tree(spark: SparkSession, sf_dir: str, scratch: Scratch, with_counts: bool) -> DataFrame:
     """Nodes are full sums as bytes; a parent is named by its first 16 bytes, so sums are looked up once."""
     c = scratch.cut(feed.commits_once(table(spark, sf_dir, "commits")))
     named = c.select(F.col("id").alias("pid"), F.col("statesum").alias("parent"))
     nodes = c.select("statesum", F.get("parents", F.lit(0)).alias("pid")).join(named, "pid", "left").select("statesum", "parent")
-    return hierarchy.hierarchy(nodes, "statesum", "parent", with_path=with_path, scratch=scratch)
+    return hierarchy.hierarchy(nodes, "statesum", "parent", with_counts=with_counts, scratch=scratch)
 
 
 def p1_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every commit: root, depth, path from the root, number of descendants, status."""
     scratch = Scratch(spark)
-    tree = scratch.cut(_commit_tree(spark, sf_dir, scratch, True))
-    looped = hierarchy.loop_descendants(tree, scratch=scratch)
-    below = hierarchy.n_descendants(tree).unionByName(looped.groupBy(F.col("ancestor").alias("id")).agg(F.count(F.lit(1)).alias("n_descendants")))
-    return tree.join(below, "id", "left").select(
-        sum_text("id").alias("statesum"), sum_text("root").alias("root"), "depth",
-        F.transform("path", lambda x: F.hex(x)).alias("path"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"), "status",
+    tree = _commit_tree(spark, sf_dir, scratch, True)
+    looped = hierarchy.loop_descendants(tree, scratch=scratch).groupBy(F.col("ancestor").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    out = lambda t, n: t.select(
+        sum_text("id").alias("statesum"), sum_text("root").alias("root"), "depth", F.transform("path", lambda x: F.hex(x)).alias("path"), n.alias("n_descendants"), "status"
     )
+    rest = tree.where("status <> 'tree'").join(looped, "id", "left")
+    return out(tree.where("status = 'tree'"), F.col("n_descendants")).unionByName(out(rest, F.coalesce("n", F.lit(0).cast("bigint"))))
 
 
 def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every commit with each of its descendants and their least distance; one on a cycle descends from itself."""
     scratch = Scratch(spark)
-    tree = scratch.cut(_commit_tree(spark, sf_dir, scratch, True))
+    tree = scratch.cut(_commit_tree(spark, sf_dir, scratch, False))
     pairs = hierarchy.descendants(tree).unionByName(hierarchy.loop_descendants(tree, scratch=scratch))
     return pairs.select(sum_text("ancestor").alias("statesum"), sum_text("descendant").alias("descendant"), "distance")
 

@@ -41,6 +41,13 @@ TREE = f"""WITH RECURSIVE {COMMITS},
     SELECT u.id, u.statesum, t.root, t.depth + 1, list_append(t.path, u.statesum) FROM t JOIN up u ON u.parent = t.id
   )
 """
+LOOPED = """
+  looped AS (SELECT id, statesum, parent FROM up WHERE id NOT IN (SELECT id FROM t)),
+  steps AS (
+    SELECT id, parent AS anc, CAST(1 AS BIGINT) AS n FROM looped
+    UNION ALL SELECT s.id, l.parent, s.n + 1 FROM steps s JOIN looped l ON l.id = s.anc WHERE s.n < (SELECT count(*) FROM looped)),
+  walk AS (SELECT id, anc, min(n) AS distance FROM steps GROUP BY 1, 2)
+"""
 LAST_COPY = """SELECT * FROM (SELECT repo_id, elt_id, elt, {sum} AS elt_sum, left({state}, 32) AS statesum,
     row_number() OVER (PARTITION BY repo_id, elt_id ORDER BY received_at DESC) AS rn FROM {t}) WHERE rn = 1"""
 
@@ -52,16 +59,16 @@ SQL = {
     SELECT r.id, e.parent FROM reach r JOIN edges e ON e.id = r.anc JOIN cm ON cm.id = e.parent
   )
 SELECT DISTINCT cm.repo_id, cm.statesum FROM reach JOIN cm USING (id) WHERE reach.anc = reach.id""",
-    "p1_hierarchy": f"""{TREE},
-  below AS (SELECT x AS statesum, count(*) - 1 AS n FROM (SELECT unnest(path) AS x FROM t) GROUP BY 1),
-  looped AS (SELECT id, statesum, parent FROM up WHERE id NOT IN (SELECT id FROM t)),
-  walk AS (SELECT id, parent AS anc FROM looped UNION SELECT w.id, l.parent FROM walk w JOIN looped l ON l.id = w.anc)
+    "p1_hierarchy": f"""{TREE}, {LOOPED},
+  below AS (SELECT x AS statesum, count(*) - 1 AS n FROM (SELECT unnest(path) AS x FROM t) GROUP BY 1)
 SELECT t.statesum, t.root, t.depth, t.path, below.n AS n_descendants, 'tree' AS status FROM t JOIN below USING (statesum)
 UNION ALL
-SELECT statesum, NULL, NULL, NULL, NULL, CASE WHEN EXISTS (SELECT 1 FROM walk w WHERE w.id = looped.id AND w.anc = looped.id) THEN 'cycle' ELSE 'below_cycle' END FROM looped""",
-    "p1_descendants": f"""{TREE},
+SELECT statesum, NULL, NULL, NULL, (SELECT count(*) FROM walk w WHERE w.anc = looped.id),
+  CASE WHEN EXISTS (SELECT 1 FROM walk w WHERE w.id = looped.id AND w.anc = looped.id) THEN 'cycle' ELSE 'below_cycle' END FROM looped""",
+    "p1_descendants": f"""{TREE}, {LOOPED},
   x AS (SELECT statesum AS descendant, depth, unnest(path) AS statesum, generate_subscripts(path, 1) - 1 AS idx FROM t)
-SELECT statesum, descendant, CAST(depth - idx AS BIGINT) AS distance FROM x WHERE idx < depth""",
+SELECT statesum, descendant, CAST(depth - idx AS BIGINT) AS distance FROM x WHERE idx < depth
+UNION ALL SELECT a.statesum, d.statesum, w.distance FROM walk w JOIN cm a ON a.id = w.anc JOIN cm d ON d.id = w.id""",
     "p2_found": ORPHANS + "SELECT DISTINCT src, repo_id, holder, pos FROM lost",
     "p2_counts": ORPHANS + "SELECT src, strftime(received_at, '%Y-%m') AS month, count(*) AS n_orphans FROM lost GROUP BY 1, 2",
     "p3_found": """WITH s AS (

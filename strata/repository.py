@@ -347,16 +347,15 @@ class Repository:
         made = []
         while len(pair := self.tips()[:2]) == 2:
             try:
-                found = self.conflicts(*pair)
+                c = self.latest_common_ancestor(*pair)
+                states = [self.state(x) for x in (*pair, c)]
             except (NoCommonAncestor, NoParent):
                 if not auto_load or not self.range or self.range[0] == 0:
                     raise
                 self.load_range(self.range[0] - 1, self.range[1])
                 continue
-            a, b = self.state(pair[0]), self.state(pair[1])
-            found = self.scratch.cut(merge.solve(found, solver))
-            top = max((x for x in a.select("elt_id").unionByName(b.select("elt_id")).agg(F.max("elt_id")).first() if x is not None), default=0)
-            got = merge.make_commit(merge.with_new_ids(found, top))
+            a, b = states[:2]
+            got = merge.make_commit(merge.with_new_ids(merge.solve(merge.conflicts(*states), solver), states, scratch=self.scratch))
             order = pair if got.first_is_a else pair[::-1]
             parents = [self._commit(p) for p in order]
             delta = self.scratch.cut(got.changes)

@@ -74,6 +74,10 @@ def test_ids(spark):
     assert [r[0] for r in s.orderBy(*ch.unsigned_order("elt_id")).collect()] == [5, 6, 8, top, -(2**63)]
 
 
+def signed(i):
+    return (i + 2**63) % 2**64 - 2**63
+
+
 def solve_by_hand(a, b, c, k):
     if a.get(k, 0) == c.get(k, 0):
         return "B"
@@ -84,7 +88,8 @@ def solve_by_hand(a, b, c, k):
 
 def test_merge_outcomes_and_results(spark):
     for a, b, c in (some_states(3, s) for s in (2, 3)):
-        found = merge.conflicts(*(state(spark, x) for x in (a, b, c)))
+        abc = [state(spark, x) for x in (a, b, c)]
+        found = merge.conflicts(*abc)
         differing = {k for k in a.keys() | b.keys() if (k in a) != (k in b) or a.get(k) != b.get(k)}
         assert {r["elt_id"] for r in found.collect()} == differing
         chained = merge.solve(merge.solve(found, merge.ancestor), merge.renaming)
@@ -95,21 +100,22 @@ def test_merge_outcomes_and_results(spark):
         assert (s["n_conflicts"], s["n_unsolved"], s["is_solved"]) == (len(differing), failing, failing == 0)
         if failing:
             with pytest.raises(NotSolved):
-                merge.make_commit(merge.with_new_ids(chained, 100))
+                merge.make_commit(merge.with_new_ids(chained, abc))
         for solver, result in ((merge.use_a, a), (merge.use_b, b)):
-            named = merge.with_new_ids(merge.solve(found, solver), 100)
+            named = merge.with_new_ids(merge.solve(found, solver), abc)
             assert as_dict(ch.patch(state(spark, a), merge.changes_against(named, "A"))) == result
             assert as_dict(ch.patch(state(spark, b), merge.changes_against(named, "B"))) == result
-        named = merge.with_new_ids(merge.solve(found, merge.use_c), 100)
+        named = merge.with_new_ids(merge.solve(found, merge.use_c), abc)
         want = {k: v for k, v in a.items() if k not in differing} | {k: c[k] for k in differing if k in c}
         for side, start in (("A", a), ("B", b)):
             assert as_dict(ch.patch(state(spark, start), merge.changes_against(named, side))) == want
         # all kinds at once: both parents lead to one result, renamed pairs are both kept
-        full = merge.with_new_ids(merge.solve(chained, merge.use_a), 100)
+        full = merge.with_new_ids(merge.solve(chained, merge.use_a), abc)
         from_a, from_b = (as_dict(ch.checked_patch(state(spark, s), merge.changes_against(full, x))) for s, x in ((a, "A"), (b, "B")))
         assert from_a == from_b
         renamed = sorted(k for k in differing if solve_by_hand(a, b, c, k) == "RENAME" and k in a and k in b)
-        assert {101 + i: b[k] for i, k in enumerate(renamed)}.items() <= from_a.items()
+        top = max(k % 2**64 for k in (a | b | c)) + 1
+        assert {signed(top + i): b[k] for i, k in enumerate(renamed)}.items() <= from_a.items()
         got = merge.make_commit(full)
         n = {x: merge.changes_against(full, x).count() for x in "AB"}
         assert got.first_is_a == (n["A"] < n["B"]) and got.n_changes == min(n.values())
@@ -230,3 +236,15 @@ def test_sequences(spark):
     assert s["max_length"] <= 1000 and g.count() == 200
     back = g.select("elt", sequences.from_bytes(sequences.to_bytes("elt")).alias("b"))
     assert back.where("NOT (elt <=> b)").count() == 0
+
+
+def test_ids_to_the_end_of_the_range(spark):
+    ids = lambda *x: spark.createDataFrame([(i, "x") for i in x], "elt_id bigint, elt string")
+    assert rows(ch.gaps(ids(2**63 - 1, 5, 6, -1, -(2**63)))) == sorted([(7,), (-(2**63) + 1,), (0,)], key=str)
+    new = lambda n, *taken: [x[1] for x in sorted(ch.ranked_new_ids(ids(*range(100, 100 + n)), [ids(*t) for t in taken]).collect())]
+    assert new(3, (2**63 - 1, 7), (5,)) == [-(2**63), -(2**63) + 1, -(2**63) + 2]
+    assert new(2, (-5,), (4,)) == [-4, -3]
+    assert new(3, (-2, 0, 3), (4, 5, 20)) == [6, 7, 8]  # no room above the largest: the first gap that is wide enough
+    assert new(3, (-1, 0, 2), ()) == [3, 4, 5]
+    assert new(2, (-1, 7)) == [0, 1]
+    assert new(2, ()) == [0, 1] and new(0, (1,)) == []

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from conftest import rows
-from strata.operators.hierarchy import cycle_members, descendants, hierarchy, n_descendants, way_from
+from strata.operators.hierarchy import cycle_members, descendants, hierarchy, way_from
 
 
 def closure(edges):
@@ -46,7 +46,7 @@ def test_forest_with_cycles_nulls_repeats_and_clashing_columns(spark):
     data = [(k, p, "x", 1, None) for k, p in parents.items()]
     data += [(3, None, "again", 2, None), (None, 4, "no id", 3, None), (5, parents[5], "x", 1, "same")]
     df = spark.createDataFrame(data, "id bigint, up bigint, root string, depth int, path string")
-    tree = hierarchy(df, "id", "up").cache()
+    tree = hierarchy(df, "id", "up", with_counts=True).cache()
     got = {x["id"]: x for x in tree.collect()}
     assert set(got) == set(parents)
     for k in parents:
@@ -59,7 +59,7 @@ def test_forest_with_cycles_nulls_repeats_and_clashing_columns(spark):
     want = sorted((a, k, len(p) - 1 - i) for k in parents if (p := walk(parents, k)) for i, a in enumerate(p[:-1]))
     assert rows(descendants(tree)) == sorted(want, key=str)
     counts = {k: sum(a == k for a, _, _ in want) for k in parents if walk(parents, k)}
-    assert dict(rows(n_descendants(tree))) == counts
+    assert dict(rows(tree.where("status = 'tree'"), "id", "n_descendants")) == counts
     plain = hierarchy(df, "id", "up", with_path=False)
     assert plain.columns == ["id", "parent", "root", "depth", "status"] and plain.count() == len(parents)
 
@@ -113,3 +113,25 @@ def test_rounds_are_logarithmic(spark):
     df = spark.range(1, 500).select(F.col("id"), (F.col("id") - 1).alias("up"))
     assert hierarchy(df, "id", "up", scratch=s).agg(F.max("depth")).first()[0] == 498
     assert s._n < 30  # 9 doublings for depths, 5 for segments, 4 for waypoints
+
+
+def test_rounds_of_cycles_are_logarithmic(spark):
+    """Ladders, chains of merges and histories with links back take few rounds, with and without ranks."""
+    from strata.scratch import Scratch
+
+    def tables(edges, want):
+        s = Scratch(spark)
+        got = {x[0] for x in rows(cycle_members(spark.createDataFrame(edges, "child bigint, parent bigint"), scratch=s))}
+        assert got == want
+        return s._n
+
+    n = 512
+    ladder = [(2 * i + a, 2 * i + 2 + b) for i in range(n) for a in (0, 1) for b in (0, 1)]
+    assert tables(ladder, set()) < 60
+    assert tables([(a, b) for a, b in ladder if b < 64], set()) < 50
+    merges = [(i, i + 1) for i in range(n)] + [(i, 10_000 + i) for i in range(n)] + [(10_000 + i, i + 5) for i in range(n - 5)]
+    assert tables(merges, set()) < 120
+    back = merges + [(n, 0)]
+    assert tables(back, {*range(n + 1), *range(10_000, 10_000 + n - 5)}) < 120
+    pairs = [(i, i + 1) for i in range(200)] + [(i + 1, i) for i in range(200)]  # a chain of cycles of two
+    assert tables(pairs, set(range(201))) < 200

@@ -2,60 +2,60 @@
 
 import hashlib
 
-import pytest
-
 from conftest import rows
+from strata import policy
+from strata.operators import dag
 from strata.plans import catalogue, domain
-
-N = 1300
-
+from strata.scratch import Scratch
 
 def sha(k):
     return hashlib.sha256(str(k).encode()).hexdigest().upper()
 
 
-@pytest.fixture(scope="module")
-def small(spark, tmp_path_factory):
-    """Orders 0 to N - 1."""
-    d = str(tmp_path_factory.mktemp("small"))
-    spark.range(N).selectExpr("id AS o_orderkey").write.parquet(f"{d}/orders.parquet")
-    return d
+# ---- commit graph ----
 
 
-# ---- commit graph ----
+def table(spark, up, number=lambda k: k):
+    data = [(str(k), [str(p) for p in ps], number(k), k % 4) for k, ps in up.items()]
+    return spark.createDataFrame(data, "statesum string, parents array<string>, number bigint, ext_flags int")
+
+
+def above(up, k):
+    seen, todo = set(), [k]
+    while todo:
+        if (x := todo.pop()) not in seen and x in up:
+            seen.add(x)
+            todo += up[x]
+    return seen
+
+
+def test_ancestors_of_several_starts(spark):
+    up = {k: [] if k == 0 else [max(k - 5, 0) if k % 40 == 39 else k - 1] + [k - 7] * (k % 10 == 0) + [9999] * (k % 9 == 0) for k in range(400)}
+    up |= {500: [501], 501: [502, 20], 502: [500]}  # a cycle above a history
+    starts = spark.createDataFrame([("a", "399"), ("a", "38"), ("b", "501"), ("c", "7"), ("d", "x")], "label string, statesum string")
+    want = {("a", str(k)) for k in above(up, 399) | above(up, 38)} | {("b", str(k)) for k in above(up, 501)} | {("c", str(k)) for k in above(up, 7)}
+    for number in (lambda k: k, lambda k: None, lambda k: -k % 13):
+        assert rows(dag.ancestors(table(spark, up, number), starts)) == sorted(want, key=str)
+    pairs = spark.createDataFrame([("p", "399", "38"), ("q", "7", "7"), ("r", "500", "0"), ("s", "500", "399"), ("t", "9", "x")], "label string, one string, two string")
+    both = lambda x, y: max(above(up, x) & above(up, y))
+    want = [("p", str(both(399, 38)), both(399, 38)), ("q", "7", 7), ("r", "0", 0), ("s", str(both(500, 399)), both(500, 399))]
+    assert rows(dag.latest_common(table(spark, up), pairs)) == sorted(want, key=str)
+    assert dag.ancestors(table(spark, up), starts.limit(0)).count() == 0
+
 
+def test_rounds_of_ancestors_do_not_grow_with_the_history(spark):
+    """Histories continued by second parents, and ladders, take logarithmically many tables."""
 
-def test_graph_queries_take_in_all_orders(spark, small):
-    up = {k: [] if k == 0 else [max(k - 5, 0) if k % 40 == 39 else k - 1] + [k - 7] * (k % 10 == 0) for k in range(N)}
-    used = {p for ps in up.values() for p in ps}
-
-    def above(k):
-        seen, todo = set(), [k]
-        while todo:
-            if (x := todo.pop()) not in seen:
-                seen.add(x)
-                todo += up[x]
-        return seen
-
-    run = lambda name: rows(catalogue.QUERIES[name](spark, small))
-    same = lambda name, want: run(name) == sorted(want, key=str)
-    tips = [k for k in up if k not in used]
-    assert max(tips) == N - 1 and same("tips", [(sha(k), k) for k in tips])
-    assert same("is_tip_flags", [(sha(k), k not in used) for k in up])
-    side = max(k for k in up if k % 40 == 38)
-    assert len(above(side)) > 1000 and same("ancestors", [(sha(k),) for k in above(side)])
-    both = max(above(side) & above(N - 1))
-    assert both > 1000 and run("common_ancestor") == [(sha(both), both)]
-    number = {k: max(ps) + 1 if ps else 0 for k, ps in up.items()}
-    assert same("commit_numbers", [(sha(k), k, number[k], number[k] == k) for k in up])
-    flags = {k: 0 for k in up if up[k]}
-    for k in flags:
-        for p in up[k]:
-            flags[k] |= p % 4
-    assert same("merged_flags", [(sha(k), x) for k, x in flags.items()])
-    assert same("commit_listing", [(k, sha(k), len(ps)) for k, ps in up.items()])
-    assert same("state_from_prefix", [(sha(k),) for k in up if sha(k).startswith("4B2")])
-    assert same("merge_next_tips", [(x,) for x in sorted(map(sha, tips))[:2]])
+    def tables(up, start):
+        s = Scratch(spark)
+        t = table(spark, up)
+        starts = spark.createDataFrame([("x", str(start))], "label string, statesum string")
+        assert {int(x) for _, x in rows(dag.ancestors(t, starts, scratch=s))} == above(up, start)
+        return s._n
+
+    second = {k: [1000 + k, k - 1] if k else [] for k in range(300)} | {1000 + k: [k - 2] if k > 2 else [] for k in range(300)}
+    ladder = {2 * i + a: [2 * i - 2, 2 * i - 1] if i else [] for i in range(150) for a in (0, 1)}
+    assert tables(second, 299) < 50 and tables(ladder, 299) < 50
 
 
 # ---- hierarchies ----
@@ -120,11 +120,17 @@ def test_running_sum_of_the_whole_log(spark, tmp_path):
 # ---- policy ----
 
 
-def test_snapshots_are_due_after_later_commits_too(spark, small):
-    weight, want = 0, []
-    for k in range(N):
-        weight += 6 + k % 40
-        if weight > 150:
-            want.append((k,))
-            weight = 0
-    assert want[-1][0] > 1000 and rows(catalogue.snapshot_policy(spark, small)) == sorted(want, key=str)
+def test_snapshots_are_due_as_a_walk_says(spark):
+    import random
+
+    r = random.Random(4)
+    data = [(g, i, r.choice([None, 0, 1, 3, 40, 200])) for g, n in ((1, 700), (2, 1), (3, 60), (4, 9)) for i in range(n)] + [(5, 0, 500), (None, 1, 9), (6, None, 900)]
+    weight, want = {}, []
+    for g, i, e in sorted((x for x in data if None not in x[:2]), key=lambda x: x[:2]):
+        weight[g] = weight.get(g, 0) + 5 + (e or 0)
+        if weight[g] > 150:
+            want.append((g, i))
+            weight[g] = 0
+    df = spark.createDataFrame(data, "g bigint, i bigint, e int")
+    assert rows(policy.due(df, "g", "i", "e")) == sorted(want, key=str)
+    assert policy.due(df.limit(0), "g", "i", "e").count() == 0
