@@ -11,8 +11,10 @@ tried, the fullest first; a branch is cut once its waste exceeds what an improve
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, insort
 from collections import Counter
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,17 +23,30 @@ from pyspark.sql import functions as F
 from strata.scratch import Scratch
 
 BLOCK_CONTAINERS = 256
-#: A container filled less than this after a round is unpacked for the next one.
-WELL_FILLED = 0.98
-#: Fillings tried per container, and containers completed per search, before the incumbent stands.
-FILLINGS, STEPS = 16, 1024
 #: So many of the least filled containers are searched first.
 WORST = 8
-#: After this many rounds every container stands as it is.
-ROUNDS = 3
 
 
-def lower_bound(sizes: list[int], capacity: int) -> int:
+@dataclass(frozen=True)
+class Limits:
+    """How far the search goes. None lifts a limit; :data:`EXACT` lifts all, so that a block comes out with the fewest containers."""
+
+    #: Fillings tried per container.
+    fillings: int | None = 16
+    #: Containers completed per search before the incumbent stands.
+    steps: int | None = 1024
+    #: Items up to which the second lower bound, a pass per large item, is computed in full.
+    bounded: int | None = 400
+    #: A container filled less than this after a round is unpacked for the next one.
+    well_filled: float = 0.98
+    #: After this many rounds every container stands as it is.
+    rounds: int = 3
+
+
+EXACT = Limits(None, None, None)
+
+
+def lower_bound(sizes: list[int], capacity: int, bounded: int | None = None) -> int:
     """The better of two bounds: total size, and items of over half a container with what fits beside none."""
     best = -(-sum(sizes) // capacity)
     order = sorted(sizes, reverse=True)
@@ -41,8 +56,8 @@ def lower_bound(sizes: list[int], capacity: int) -> int:
         small = sum(x for x in order if capacity / 2 >= x >= max(k, 1))
         room = len(middle) * capacity - sum(middle)
         best = max(best, len(large) + len(middle) + max(0, -(-(small - room) // capacity)))
-        if len(order) > 400:
-            break  # the second bound costs a pass per large item; on many items the first is as good
+        if bounded is not None and len(order) > bounded:
+            break  # on many items the first bound is as good
     return best
 
 
@@ -64,19 +79,21 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(largest: int, have: Counter, distinct: list[int], capacity: int) -> list[tuple[int, ...]]:
+def fillings(largest: int, have: Counter, distinct: list[int], capacity: int, most: int | None = None) -> list[tuple[int, ...]]:
     """Undominated fillings of a container that holds ``largest``, the fullest first.
 
     A filling is dominated if an item left out would fit in addition, or could take the place of a
     smaller item that is in: the other container that has it could then hold the smaller one.
+    With ``most`` the fullest of those that a bounded search meets, at least one.
     """
     found: set[tuple[int, tuple[int, ...]]] = set()
-    budget = [FILLINGS * 20]
+    spare: list[tuple[int, ...]] = []
+    budget = [math.inf if most is None else most * 20]
     negated = [-x for x in distinct]
 
     def extend(at: int, room: int, chosen: tuple[int, ...]) -> None:
         budget[0] -= 1
-        if budget[0] < 0 or len(found) >= FILLINGS * 4:
+        if budget[0] < 0 or most is not None and len(found) >= most * 4:
             return
         grown = False
         for at in range(max(at, bisect_left(negated, -room)), len(distinct)):
@@ -86,11 +103,14 @@ def fillings(largest: int, have: Counter, distinct: list[int], capacity: int) ->
                 extend(at, room - x, (*chosen, x))
                 if room == x or budget[0] < 0:
                     return
-        if not grown and not (room and _dominated(chosen, room, have, distinct, negated)):
-            found.add((room, chosen))
+        if not grown:
+            if not spare:
+                spare.append(chosen)
+            if not (room and _dominated(chosen, room, have, distinct, negated)):
+                found.add((room, chosen))
 
     extend(0, capacity - largest, ())
-    return [c for _, c in sorted(found)][:FILLINGS] or [()]
+    return [c for _, c in sorted(found)][:most] or spare
 
 
 def _dominated(chosen: tuple[int, ...], room: int, have: Counter, distinct: list[int], negated: list[int]) -> bool:
@@ -102,20 +122,20 @@ def _dominated(chosen: tuple[int, ...], room: int, have: Counter, distinct: list
     return False
 
 
-def complete(sizes: list[int], capacity: int) -> list[list[int]]:
+def complete(sizes: list[int], capacity: int, limits: Limits = Limits()) -> list[list[int]]:
     """Containers as lists of item indices; every size is between 1 and the capacity.
 
     Completion is tried on the items of the least filled containers first, where a container can be
-    saved, then on more of them, and at last on all items.
+    saved, then on more of them, and at last on all items. With :data:`EXACT` no solution has fewer.
     """
     best = best_fit(sizes, capacity)
-    bound = lower_bound(sizes, capacity)
+    bound = lower_bound(sizes, capacity, limits.bounded)
     open_ = WORST
     while len(best) > bound:
         best.sort(key=lambda b: sum(sizes[i] for i in b))
         part = best[:open_]
         items = [i for b in part for i in b]
-        shorter = _searched([sizes[i] for i in items], capacity, len(part))
+        shorter = _searched([sizes[i] for i in items], capacity, len(part), limits)
         if shorter:
             best = [[items[j] for j in b] for b in shorter] + best[open_:]
         elif open_ >= len(best):
@@ -125,12 +145,12 @@ def complete(sizes: list[int], capacity: int) -> list[list[int]]:
     return best
 
 
-def _searched(sizes: list[int], capacity: int, known: int) -> list[list[int]] | None:
+def _searched(sizes: list[int], capacity: int, known: int, limits: Limits) -> list[list[int]] | None:
     """A solution with fewer than ``known`` containers by branch and bound, None if none was met."""
-    bound = lower_bound(sizes, capacity)
+    bound = lower_bound(sizes, capacity, limits.bounded)
     if known <= bound:
         return None
-    total, steps, target, found = sum(sizes), STEPS, known, None
+    total, steps, target, found = sum(sizes), math.inf if limits.steps is None else limits.steps, known, None
     # explicit stack: a block may have more containers than Python has frames
     stack = [(Counter(sizes), total, (), 0, None, 0)]
     while stack and steps > 0 and target > bound:
@@ -149,7 +169,7 @@ def _searched(sizes: list[int], capacity: int, known: int) -> list[list[int]] |
             rest[largest] -= 1
             if not rest[largest]:
                 del rest[largest]
-            options = [(largest, *f) for f in fillings(largest, rest, sorted(rest, reverse=True), capacity)]
+            options = [(largest, *f) for f in fillings(largest, rest, sorted(rest, reverse=True), capacity, limits.fillings)]
         if at + 1 < len(options):
             stack.append((have, left, done, waste, options, at + 1))
         steps -= 1
@@ -173,11 +193,11 @@ def _searched(sizes: list[int], capacity: int, known: int) -> list[list[int]] |
     return out
 
 
-def _solve(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
+def _solve(items: pd.DataFrame, limits: Limits) -> pd.DataFrame:
     capacity = int(items["capacity"].iat[0])
     sizes = items["n_tokens"].astype(int).tolist()
     full = [i for i, x in enumerate(sizes) if x > 0]
-    bins = [[full[j] for j in b] for b in complete([sizes[i] for i in full], capacity)] if full else []
+    bins = [[full[j] for j in b] for b in complete([sizes[i] for i in full], capacity, limits)] if full else []
     none = [i for i, x in enumerate(sizes) if x <= 0]
     if none:  # texts without tokens take no room
         bins = bins or [[]]
@@ -190,13 +210,14 @@ def _solve(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
     return items.assign(number=number, filled=filled)
 
 
-def pack(items: DataFrame, capacities: DataFrame, *, scratch: Scratch | None = None) -> DataFrame:
+def pack(items: DataFrame, capacities: DataFrame, *, limits: Limits = Limits(), scratch: Scratch | None = None) -> DataFrame:
     """(pack_id, container, id, piece, start, n_tokens): where each item, or piece of one, lies.
 
     ``items``: id (BIGINT, unique), n_tokens; ``capacities``: pack_id, capacity, few rows. Only an
     item larger than the capacity is split: into full containers and one rest, which is packed like
     an item. An item without tokens takes no room and lies in a container of its block. NULL ids,
-    NULL or non-positive capacities are ignored, a NULL size counts as 0.
+    NULL or non-positive capacities are ignored, a NULL size counts as 0. ``limits`` bounds the search
+    within a block; whatever they are, every item is packed.
     """
     scratch = scratch or Scratch(items.sparkSession)
     out_schema = "pack_id int, capacity int, id bigint, piece int, start bigint, n_tokens bigint, block bigint, number int, filled bigint"
@@ -223,7 +244,7 @@ def pack(items: DataFrame, capacities: DataFrame, *, scratch: Scratch | None = N
     ).where("n_tokens > 0 OR piece = 0")
     rest = scratch.cut(rest)
     done = [full]
-    for level in range(ROUNDS):
+    for level in range(limits.rounds):
         totals = {r[0]: (int(r[1]), int(r[2])) for r in rest.groupBy("pack_id").agg(F.sum("n_tokens"), F.count(F.lit(1))).collect()}
         if not totals:
             break
@@ -231,8 +252,8 @@ def pack(items: DataFrame, capacities: DataFrame, *, scratch: Scratch | None = N
         blocks = {p: max(1, -(-totals[p][0] // (BLOCK_CONTAINERS * c)), -(-totals[p][1] // (64 * BLOCK_CONTAINERS))) for p, c in caps if p in totals}
         n = F.create_map(*[x for p, b in blocks.items() for x in (F.lit(p), F.lit(b).cast("bigint"))])[F.col("pack_id")]
         blocked = rest.withColumn("block", F.pmod(F.xxhash64("id", F.lit(level)), n))
-        solved = scratch.cut(blocked.groupBy("pack_id", "block").applyInPandas(_solve, out_schema))
-        stays = (F.col("filled") >= WELL_FILLED * F.col("capacity")) | (n == 1) | F.lit(level == ROUNDS - 1)
+        solved = scratch.cut(blocked.groupBy("pack_id", "block").applyInPandas(lambda items: _solve(items, limits), out_schema))
+        stays = (F.col("filled") >= limits.well_filled * F.col("capacity")) | (n == 1) | F.lit(level == limits.rounds - 1)
         container = F.concat_ws("-", F.lit(f"r{level}"), "block", "number").alias("container")
         done.append(solved.where(stays).select("pack_id", container, "id", "piece", "start", "n_tokens"))
         rest = scratch.cut(solved.where(~stays).select("pack_id", "capacity", "id", "piece", "start", "n_tokens"))

@@ -24,7 +24,7 @@ def p7_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text that comes back from the ids; a null text comes back empty."""
-    return tokens.decode(p7_ids(spark, sf_dir), "doc_id", "ids").select("doc_id", "text")
+    return tokens.decode(p7_ids(spark, sf_dir), "doc_id", "ids")
 
 
 def p8_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = p8_packs(spark, sf_dir).groupBy("pack_id").agg(F.countDistinct("container").alias("containers"), F.sum("n_tokens").alias("tokens"))
     return got.join(packs, "pack_id").select(
         "pack_id", "capacity", "containers", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).alias("at_least"),
-        (1 - F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("unused"),
+        (F.col("containers") - F.ceil(F.col("tokens") / F.col("capacity"))).alias("above_bound"), (1 - F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("unused"),
     )
 
 

@@ -14,6 +14,7 @@ Only what is bounded by fixed grids goes to the driver: sums per language and le
 
 from __future__ import annotations
 
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,7 +35,10 @@ CENTRE = 3.0
 UNLABELLED = 0.1
 #: Fewer running words of own prose than this are never a case.
 LEAST_WORDS = 10
-ROUNDS = 3
+#: The estimates have converged once levels move by less than this from one round to the next, on average.
+TOLERANCE = 0.05
+#: Rounds after which an estimate that does not settle is returned with a warning.
+MOST_ROUNDS = 30
 #: Tables with one row per word are joined by broadcast up to this many rows of about 50 bytes, by a shuffle beyond.
 FEW_WORDS = 200_000
 
@@ -150,9 +154,14 @@ def _mapped(raw: DataFrame, bands: DataFrame) -> DataFrame:
     return raw.select("doc_id", "raw", table[F.round(F.col("raw") * 10).cast("int")].alias("level"))
 
 
-def levels(documents: DataFrame, labels: DataFrame, *, rounds: int = ROUNDS, scratch: Scratch | None = None) -> DataFrame:
+def levels(
+    documents: DataFrame, labels: DataFrame, *, tolerance: float = TOLERANCE, moves: list[float] | None = None, scratch: Scratch | None = None
+) -> DataFrame:
     """(doc_id, n_words, level): one row per document, level on the scale of the bands, 1 to 5.
 
+    Words and levels are estimated in turn until levels move by less than ``tolerance`` on average;
+    ``moves`` takes up the mean move of each round. Warns where this takes over ``MOST_ROUNDS``.
+
     ``documents``: doc_id, text, lang; ``labels``: doc_id, band, possibly several per document, of
     which the mean counts. A document without own words has no level, nor has any document if no
     labelled one has words. NULL bands and labels of unknown documents are ignored.
@@ -175,7 +184,11 @@ def levels(documents: DataFrame, labels: DataFrame, *, rounds: int = ROUNDS, scr
         (F.sum(F.col("n") * F.coalesce("score", F.lit(CENTRE))) / F.sum("n")).alias("mean")
     )
     now = scratch.cut(_mapped(first.select("doc_id", F.round("mean", 1).alias("raw")), bands))
-    for _ in range(rounds):
+    moves = [] if moves is None else moves
+    while not moves or moves[-1] > tolerance:
+        if len(moves) >= MOST_ROUNDS:
+            warnings.warn(f"levels still move by {moves[-1]:.3f} after {MOST_ROUNDS} rounds", stacklevel=2)
+            break
         place = [
             F.round(F.coalesce("band", "level"), 1).alias("level"), F.when(F.col("band").isNull(), UNLABELLED).otherwise(1.0).alias("weight"),
         ]
@@ -190,6 +203,8 @@ def levels(documents: DataFrame, labels: DataFrame, *, rounds: int = ROUNDS, scr
         norms = _norms(params)
         sums = _runs(bag, "lang", "n_words").join(_by_word(params).select("lang", "word", "b"), ["lang", "word"]).groupBy("doc_id", "lang", "n_words").agg(F.sum(F.col("n") * F.col("b")).alias("s"))
         nxt = scratch.cut(_mapped(_best_levels(sums, norms), bands))
+        both = nxt.join(now.select("doc_id", F.col("level").alias("before")), "doc_id")
+        moves.append(both.agg(F.avg(F.abs(F.col("level") - F.col("before")))).first()[0] or 0.0)
         scratch.drop(now)
         now = nxt
     return shown.join(now.select("doc_id", "level"), "doc_id", "left")

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from strata.layout import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Characters handed to the tokenizer at once; bounds the memory for its results, cuts no text.
 CHARS_AT_ONCE = 2_000_000
@@ -56,12 +58,6 @@ def token_bytes(vocabulary_text: str) -> dict[int, bytes]:
     return out | {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A table in fewer files than there are cores is spread over them; a larger one is not moved."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def _vocabulary(df: DataFrame, path: str):
     with open(path, encoding="utf-8") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
@@ -129,8 +125,8 @@ def count(df: DataFrame, id: str, text: str, *, vocabulary: str = VOCABULARY) ->
     return spread(df.select(id, text), id).mapInArrow(run, f"`{id}` {df.schema[id].dataType.simpleString()}, n_tokens bigint")
 
 
-def decode(df: DataFrame, id: str, ids: str, *, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id, text, pieces): the text of a list of ids, and what each token adds to it.
+def decode(df: DataFrame, id: str, ids: str, *, vocabulary: str = VOCABULARY, pieces: bool = False) -> DataFrame:
+    """(id, text), with ``pieces`` also what each token adds to the text of a list of ids.
 
     A character whose bytes are split over tokens is added by the token that completes it. Bytes
     that never complete a character, as where a list was cut, and ids that the vocabulary lacks
@@ -138,18 +134,21 @@ def decode(df: DataFrame, id: str, ids: str, *, vocabulary: str = VOCABULARY) ->
     """
     content = _vocabulary(df, vocabulary)
 
+    def parts(table: dict[int, bytes], tokens: list[int]) -> list[str]:
+        part = codecs.getincrementaldecoder("utf-8")("replace")
+        own = [part.decode(table.get(i, b"\xff")) for i in tokens]
+        if rest := part.decode(b"", final=True):
+            own[-1] += rest
+        return own
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(content.value)
         for batch in batches:
-            texts, pieces = [], []
-            for tokens in batch.column(1).to_pylist():
-                part = codecs.getincrementaldecoder("utf-8")("replace")
-                own = [part.decode(table.get(i, b"\xff")) for i in tokens or ()]
-                if rest := part.decode(b"", final=True):
-                    own[-1] += rest
-                pieces.append(own)
-                texts.append("".join(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(pieces, pa.list_(pa.string()))], [id, "text", "pieces"])
-
-    schema = f"`{id}` {df.schema[id].dataType.simpleString()}, text string, pieces array<string>"
+            lists = [x or () for x in batch.column(1).to_pylist()]
+            cols = [batch.column(0), pa.array([b"".join([table.get(i, b"\xff") for i in x]).decode("utf-8", "replace") for x in lists], pa.string())]
+            if pieces:
+                cols.append(pa.array([parts(table, x) for x in lists], pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays(cols, [id, "text", "pieces"][: len(cols)])
+
+    schema = f"`{id}` {df.schema[id].dataType.simpleString()}, text string" + (", pieces array<string>" if pieces else "")
     return df.select(id, ids).mapInArrow(run, schema)

@@ -37,7 +37,7 @@ def test_ids_equal_those_of_another_library(spark):
 @needs_vocabulary
 def test_round_trip_offsets_and_split_characters(spark):
     enc = tokens.encode(frame(spark), "doc_id", "text", vocabulary=VOCABULARY, offsets=True).cache()
-    dec = {r["doc_id"]: r for r in tokens.decode(enc, "doc_id", "ids", vocabulary=VOCABULARY).collect()}
+    dec = {r["doc_id"]: r for r in tokens.decode(enc, "doc_id", "ids", vocabulary=VOCABULARY, pieces=True).collect()}
     for r in enc.collect():
         text = ([*TEXTS, TEXTS[6]][r["doc_id"] + 2]) or ""
         assert dec[r["doc_id"]]["text"] == text and "".join(dec[r["doc_id"]]["pieces"]) == text
@@ -47,7 +47,7 @@ def test_round_trip_offsets_and_split_characters(spark):
     # a list cut within a character, unknown ids, nothing
     hand = tokens.encode(spark.createDataFrame([(1, "🙏")], "doc_id bigint, text string"), "doc_id", "text", vocabulary=VOCABULARY).first()["ids"]
     cut = spark.createDataFrame([(1, hand[:-1]), (2, [10**6]), (3, None), (4, [])], "doc_id bigint, ids array<int>")
-    got = {r["doc_id"]: (r["text"], r["pieces"]) for r in tokens.decode(cut, "doc_id", "ids", vocabulary=VOCABULARY).collect()}
+    got = {r["doc_id"]: (r["text"], r["pieces"]) for r in tokens.decode(cut, "doc_id", "ids", vocabulary=VOCABULARY, pieces=True).collect()}
     assert set(got[1][0]) == {"�"} and got[2][0] == "�" and got[3] == ("", []) and got[4] == ("", [])
     assert tokens.encode(frame(spark).limit(0), "doc_id", "text", vocabulary=VOCABULARY).count() == 0
 
@@ -96,6 +96,21 @@ def test_bin_completion_reaches_the_optimum():
     assert len(packing.best_fit(hard, 10)) == 3 and len(packing.complete(hard, 10)) == 2
 
 
+def test_exact_search_on_hard_blocks():
+    """Triplets that fill their containers to the brim: limits may cost a container, the exact search none."""
+    r = random.Random(5)
+    for n in (5, 7, 9):
+        sizes = []
+        for _ in range(n):
+            a = r.randrange(26, 45)
+            b = r.randrange(26, 100 - a - 25)
+            sizes += [a, b, 100 - a - b]
+        r.shuffle(sizes)
+        bins = packing.complete(sizes, 100, packing.EXACT)
+        assert len(bins) == n and sorted(i for b in bins for i in b) == list(range(3 * n))
+        assert len(packing.complete(sizes, 100)) <= n + 1
+
+
 def test_pack(spark):
     r = random.Random(1)
     sizes = [(i, r.choice([0, 1, 5, 17, 33, 60, 64, 65, 100, 128, 700])) for i in range(2000)] + [(-1, None), (None, 5)]
@@ -145,6 +160,35 @@ def test_own_prose(text, want):
     assert prose.words(text) == want
 
 
+SENTENCES = [
+    "for example (see the first chapter) the birds fly south in winter", "from Paris (France) the train goes to Lyon; it takes two hours", "if you ask me, the answer is simple: read the whole book;",
+    "let us consider the theorem; it states that every set is small", "ERROR is human, to forgive divine", "SELECT the best FROM all of them said the teacher", "» Kommst du morgen mit? « fragte sie",
+    "„Nein“, sagte er (leise); „nie wieder!“", "– Où vas-tu ? demanda la mère : il pleut !", "| not a table but a sentence here |", "The war was long (404 BC, the end of the war) and hard",
+    "while (as he said) nobody slept; everyone waited: for what?", "return to the house = go home", "import duties (and taxes) rose; prices fell", "class struggle (Marx; Engels) shaped the century",
+    "else he would have gone (perhaps); we never knew", "function follows form: the house (1920) is plain;", "const is a word; let it be; var too", "INFO for visitors: the museum opens at 10:30",
+    "UPDATE your plans FROM time to time and SET goals INTO writing", "The camelCase style is used by many people who write code", "a < b and b < c means that a < c for all numbers",
+    "def is short for define; say so (once)", "try again; if it fails, try harder: you must", "WARNING: wet floor (mind your step)", "new laws (passed in May) apply; old ones do not", "at noon (or later) they ate; then they slept",
+    "print runs (of books) were small; prices were high", "public opinion = private opinion, many times over", "case closed: the butler did it;", "do as you like (within reason); nobody minds", "the gone (and the dead) are remembered (dead or not)",
+]
+
+
+def test_prose_that_looks_like_code_is_kept_whole():
+    for line in SENTENCES:
+        want = [w.lower().replace("’", "'") for w in prose.WORD.findall(line)]
+        assert prose.words(line) == want, line
+        assert prose.words(f"He said so.\n{line}\nThen he left.") == ["he", "said", "so", *want, "then", "he", "left"], line
+
+
+def test_code_and_logs_between_prose_are_dropped():
+    for line in (
+        "for x in fooBar:", "let foo_bar = () => bazQux + 2;", "if (fooBar) { bazQux.push(7); }", "UPDATE fooBar SET BazQux = 3;", "foo_bar::baz panicked at row 8", "at foo.barBaz(line 8)", "x = y[3]; z = f(x);",
+        "2024-05-01 10:11:12 INFO server started", "Traceback (most recent call last):", "error: fooBar: cannot open baz_qux (code 5)",
+    ):
+        assert prose.words(f"one\n{line}\ntwo") == ["one", "two"], line
+    assert prose.words("one\nfoo_bar = bazQux(1);\nreturn x\ntwo") == ["one", "two"]  # by its neighbour
+    assert prose.words("see https://a.b/c (404 now) and http://d.e [dead link] too") == ["see", "and", "too"]
+
+
 def corpus(n=400, seed=1):
     """Documents of levels 1 to 5; long easy and short hard words, two languages, other people's words in quotes."""
     r = random.Random(seed)
