@@ -31,7 +31,9 @@ LEADING_TAGS = re.compile(r"^(?:[ ]{0,3}</?[A-Za-z][^<>]*>)+")
 #: Without any of these a line has neither identifiers nor marks of code or logs.
 SUSPECT = re.compile(r"[_{}=<>|\\$;:(\[/]|[a-z][A-Z]")
 #: Identifiers: joined by underscores, by inner capitals, or by dots before a bracket.
-NAME = regex.compile(r"(?<![\p{L}\d_])[\p{L}\d_]++(?:::[\p{L}\d_]+)+|[\p{L}\d]*_[\p{L}\d_]+|\b\p{Ll}+(?:\p{Lu}[\p{Ll}\d]+)+|\b(?:\p{Lu}[\p{Ll}\d]+){2,}|\b[\p{L}\d]+(?:\.[\p{L}\d]+)+(?=\()")
+NAME = regex.compile(r"[\p{L}\d]*_[\p{L}\d_]+|\b\p{Ll}+(?:\p{Lu}[\p{Ll}\d]+)+|\b(?:\p{Lu}[\p{Ll}\d]+){2,}|\b[\p{L}\d]+(?:\.[\p{L}\d]+)+(?=\()")
+#: The same with paths, whose parts are joined by two colons.
+PATH = regex.compile(r"(?<![\p{L}\d_])[\p{L}\d_]++(?:::[\p{L}\d_]+)+|" + NAME.pattern)
 #: Marks of code: operators, calls, subscripts, flags, statement ends.
 MARK = regex.compile(r"[{}=<>|\\$]|;\s*$|::|->|=>|(?<=[\p{L}\d_])(?:\(|\[)|(?:^|\s)--?[A-Za-z]\w*|(?:^|\s)\.{0,2}/\w|:\s*$|\+\d+ ms\b|\((?i:code) \d+\)|(?<=\w):(?= \w+[_(])")
 LEVEL = regex.compile(r"\b(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL)\b|^(?:error|warning|fatal|panic): |\bpanicked at\b")
@@ -56,7 +58,8 @@ def evidence(line: str) -> tuple[bool, bool]:
     opens = first in OPENING
     if not SUSPECT.search(line):
         return False, opens and len(line.split()) <= 3
-    names = NAME.findall(line)
+    pattern = PATH if "::" in line else NAME
+    names = pattern.findall(line)
     marks = len(MARK.findall(line))
     logged = (LEVEL.search(line) is not None) + (CLOCK.match(line) is not None)
     some = marks + opens + logged
@@ -64,7 +67,7 @@ def evidence(line: str) -> tuple[bool, bool]:
         return False, bool(some) and line.count(" ") <= 4
     if line.count(" ") > 4 * (3 * len(names) + marks + some) + 40:
         return False, False  # far more words than evidence
-    bare = NAME.sub(" ", line)
+    bare = pattern.sub(" ", line)
     plain = sum(len(w) > 1 and w.lower() not in OPENING for w in WORD.findall(bare))
     if logged == 2 and plain <= 12 or line.startswith(("Traceback (", ">>> ")):
         return True, True
