@@ -60,8 +60,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- 2: orphan references -------------------------------------------------------------------
 
 
-def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
+def _references(spark: SparkSession, sf_dir: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The references, one row per referring place, and the keys of the commits that are there."""
     commits = table(spark, sf_dir, "commits")
     c = commits.select("repo_id", sum_bytes("statesum").alias("holder"), state_key("statesum").alias("id"), "parents", "received_at", "purged_at")
     # one row per referring place; repeats carry the same reference, its first receipt dates it
@@ -82,16 +82,30 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.lit("snapshots").alias("src"), "repo_id", F.col("ss").cast("string").alias("holder"), F.lit(0).cast("bigint").alias("pos"), "key", "received_at")
     )
     live = scratch.cut(references.live_records(c.where("holder IS NOT NULL"), "id", "received_at", "purged_at"))
-    return references.orphans(from_commits.unionByName(from_snapshots), live, scratch=scratch)
+    return from_commits.unionByName(from_snapshots), live
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orphans(spark, sf_dir).select("src", "repo_id", "holder", "pos").distinct()
+    scratch = Scratch(spark)
+    refs, live = _references(spark, sf_dir, scratch)
+    return references.orphans(refs, live, scratch=scratch).select("src", "repo_id", "holder", "pos").distinct()
 
 
 def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphan references per referring table and month of the reference's first receipt."""
-    return references.orphan_counts(_orphans(spark, sf_dir), ["src"], "received_at")
+    scratch = Scratch(spark)
+    refs, live = _references(spark, sf_dir, scratch)
+    return references.orphan_counts(refs, live, ["src"], "received_at", scratch=scratch)
+
+
+def p2_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphan rows per referring table and month of receipt: every delivered row refers, so keys are as hot as the tables are."""
+    scratch = Scratch(spark)
+    _, live = _references(spark, sf_dir, scratch)
+    of_changes = table(spark, sf_dir, "changes").select(F.lit("changes").alias("src"), state_key("statesum").alias("key"), "received_at")
+    of_snapshots = table(spark, sf_dir, "snapshots").select(F.lit("snapshots").alias("src"), state_key("statesum").alias("key"), "received_at")
+    refs = of_changes.unionByName(of_snapshots).where("key IS NOT NULL")
+    return references.orphan_counts(refs, live, ["src"], "received_at", scratch=scratch)
 
 
 # ---- 3: snapshots ---------------------------------------------------------------------------
@@ -154,6 +168,6 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants,
-    "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found,
+    "p2_found": p2_found, "p2_counts": p2_counts, "p2_rows": p2_rows, "p3_found": p3_found,
     "p4_found": p4_found, "p4_state": p4_state, "p5_found": p5_found, "p6_found": p6_found,
 }

@@ -71,6 +71,10 @@ SELECT statesum, descendant, CAST(depth - idx AS BIGINT) AS distance FROM x WHER
 UNION ALL SELECT a.statesum, d.statesum, w.distance FROM walk w JOIN cm a ON a.id = w.anc JOIN cm d ON d.id = w.id""",
     "p2_found": ORPHANS + "SELECT DISTINCT src, repo_id, holder, pos FROM lost",
     "p2_counts": ORPHANS + "SELECT src, strftime(received_at, '%Y-%m') AS month, count(*) AS n_orphans FROM lost GROUP BY 1, 2",
+    "p2_rows": ORPHANS + f""", x AS (SELECT 'changes' AS src, left({DIGITS.format('statesum')}, 32) AS target, received_at FROM changes
+    UNION ALL SELECT 'snapshots', left({DIGITS.format('statesum')}, 32), received_at FROM snapshots)
+SELECT src, strftime(received_at, '%Y-%m') AS month, count(*) AS n_orphans FROM x
+WHERE length(target) = 32 AND target NOT IN (SELECT id FROM state WHERE NOT gone) GROUP BY 1, 2""",
     "p3_found": """WITH s AS (
     SELECT * FROM (SELECT repo_id, ss, elt_id, elt, row_number() OVER (PARTITION BY repo_id, ss, elt_id ORDER BY received_at DESC) AS rn FROM snapshots) WHERE rn = 1),
   seq AS (SELECT repo_id, ss, lag(ss) OVER (PARTITION BY repo_id ORDER BY ss) AS prev FROM (SELECT DISTINCT repo_id, ss FROM snapshots)),

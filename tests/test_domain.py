@@ -2,6 +2,9 @@
 
 import datetime as dt
 import random
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from conftest import rows
 from strata.operators import feed, references, residues, versions
@@ -27,6 +30,11 @@ def test_orphans_heavy_and_light(spark):
     live = spark.createDataFrame([("hot",), ("k1",), ("k2",), ("k2",)], "key string")
     got = rows(references.orphans(r, live, max_heavy=4), "key", "n")
     assert got == sorted([x for x in refs if x[0] not in ("hot", "k1", "k2")], key=str)
+    months = spark.createDataFrame([(k, t(i * 24 % 2000)) for k, i in refs], "key string, received_at timestamp")
+    counted = rows(references.orphan_counts(months.withColumn("src", F.lit("x")), live, ["src"], "received_at", max_heavy=4))
+    want = Counter(t(i * 24 % 2000).strftime("%Y-%m") for k, i in refs if k not in ("hot", "k1", "k2"))
+    assert counted == sorted((("x", m, n) for m, n in want.items()), key=str)
+    assert references.orphan_counts(months.limit(0), live, [], "received_at").count() == 0
     assert references.orphans(r.limit(0), live).count() == 0
     assert references.orphans(r, live.limit(0)).count() == len(refs)
 
@@ -115,8 +123,6 @@ def test_feed_and_versions_against_a_fold(spark):
         want_versions += [(repo, *v) for v in vers]
     assert sorted(state) == sorted(want_state)
 
-    from pyspark.sql import functions as F
-
     longest = way.groupBy("repo_id").agg(F.max("dist").alias("last_pos"))
     placed = way.join(longest, "repo_id").select("repo_id", "id", "number", (F.col("last_pos") - F.col("dist")).alias("pos"), "last_pos")
     applied = feed.applied(ch.drop("number"), placed, ["pos", "last_pos", "number", "elt", "received_at"])
@@ -152,7 +158,5 @@ def test_hot_keys_move_once(spark):
     """Comparison and snapshot diff shuffle rows once; nothing is gathered by repository alone."""
     df = spark.createDataFrame([(1, 1, 1, "a", t(1))], "repo_id bigint, ss bigint, elt_id bigint, elt string, received_at timestamp")
     seq = Scratch(spark).cut(residues.snapshot_sequence(df))
-    from pyspark.sql import functions as F
-
     plan = residues.snapshot_changes(df, F.broadcast(seq))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(repo_id" in plan and ", elt_id" in plan
