@@ -1,4 +1,6 @@
-"""A repository: states with their history, stored as Parquet.
+"""A repository: states with their history, stored as Parquet or as files of the binary format.
+
+As Parquet:
 
     meta/                    one row: name, type of elements, digest, user fields
     commits/ss=N/cl=M/       one row per commit
@@ -12,16 +14,16 @@ commits and index sees whole ones only, and two writers at most make two tips.
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.errors import (
-    ArgError, EltNotFound, IdClash, MergeRequired, NoCommonAncestor, NoParent, NoState, NotReady, OtherError, PatchApply, ReadOnly,
+    ArgError, EltNotFound, IdClash, MergeRequired, NoCommonAncestor, NoParent, NoState, NotReady, OtherError, PatchApply, ReadOnly, WrongParent,
 )
 from strata.functions import sums
 from strata.operators import changes as ch
@@ -30,8 +32,8 @@ from strata.operators.hierarchy import way_from
 from strata.policy import SnapshotPolicy
 from strata.scratch import Scratch
 from strata.sources.codec import valid_name
+from strata.storage import COMMITS, BinaryStorage, ParquetStorage, element_codec
 
-COMMITS = "statesum string, parents array<string>, number bigint, ts bigint, ext_flags int, extra string, n_changes bigint, seq bigint, ss bigint, cl bigint"
 PROBES = 1_000_000
 
 
@@ -43,6 +45,8 @@ class Config:
     policy: SnapshotPolicy = field(default_factory=SnapshotPolicy)
     clock: Callable[[], int] = lambda: int(time.time())
     extra: Callable[[int, list[str]], str | None] = lambda number, parents: None
+    #: Further user fields of the header, by kind of file and name.
+    header: Callable[[str, str], dict] = lambda kind, name: {}
 
 
 def _zero() -> str:
@@ -58,48 +62,53 @@ def _meta_sum(number: int, ts: int, parents: list[str], extra: str | None) -> st
 
 
 class Repository:
-    def __init__(self, spark: SparkSession, root: str, meta: dict, config: Config):
-        self.spark, self.root, self.meta, self.config = spark, root.rstrip("/"), meta, config
+    def __init__(self, spark: SparkSession, storage, meta: dict, config: Config):
+        self.spark, self.storage, self.meta, self.config = spark, storage, meta, config
         self.scratch = Scratch(spark)
         self.range: tuple[int, int] | None = None
         self._queue: list[tuple[dict, DataFrame]] = []
 
     # ---- opening ----
 
-    @staticmethod
-    def _exists(spark: SparkSession, path: str) -> bool:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
     @classmethod
-    def create(cls, spark, root: str, name: str, elt_type: str = "string", *, digest: str = "sha2", user: dict | None = None, config: Config | None = None) -> Repository:
-        """A new repository with the blank state, number 0, as snapshot 0."""
+    def create(
+        cls, spark, where, name: str, elt_type: str = "string", *, digest: str = "sha2", user: dict | None = None, config: Config | None = None
+    ) -> Repository:
+        """A new repository with the blank state, number 0, as snapshot 0; ``where`` is a folder for Parquet, or a storage."""
         valid_name(name)
         config = config or Config()
         if config.readonly:
             raise ReadOnly("the repository is read-only")
-        if cls._exists(spark, f"{root}/meta"):
-            raise OtherError(f"there is a repository already: {root}")
-        meta = {"name": name, "elt_type": elt_type, "digest": digest, "user": user or {}}
-        repo = cls(spark, root, meta, config)
+        storage = ParquetStorage(spark, where) if isinstance(where, str) else where
+        if storage.exists():
+            raise OtherError(f"there is a repository already: {where}")
+        user = {**(user or {}), **config.header("snapshot", name)}
+        if isinstance(storage, BinaryStorage):
+            storage.use(name, user)
+            elt_type, digest = storage.elt_type, "blake2"
+        repo = cls(spark, storage, {"name": name, "elt_type": elt_type, "digest": digest, "user": user}, config)
         ts = config.clock()
-        blank = _meta_sum(0, ts, [], None)
-        none = spark.createDataFrame([], f"elt_id bigint, elt {elt_type}")
-        none.write.mode("errorifexists").parquet(f"{repo.root}/snapshots/ss=0")
-        repo._write_commits([{"statesum": blank, "parents": [], "number": 0, "ts": ts, "ext_flags": 0, "extra": None, "n_changes": 0, "seq": 0}], 0, 0)
-        repo._index(0, blank)
-        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.text(f"{repo.root}/meta")
+        blank = {"statesum": _meta_sum(0, ts, [], None), "parents": [], "number": 0, "ts": ts, "ext_flags": 0, "extra": None, "n_changes": 0, "seq": 0}
+        storage.new_log(0, 0, [blank], None)
+        if not storage.new_snapshot(0, blank, spark.createDataFrame([], f"elt_id bigint, elt {elt_type}")):
+            raise OtherError(f"another writer was first: {where}")
+        storage.write_meta(repo.meta)
         return repo
 
     @classmethod
-    def open(cls, spark, root: str, *, name: str | None = None, config: Config | None = None) -> Repository:
+    def open(cls, spark, where, *, name: str | None = None, config: Config | None = None) -> Repository:
         """Reads the header only; states stay lazy until they are used."""
-        if not cls._exists(spark, f"{root}/meta"):
-            raise OtherError(f"no repository: {root}")
-        meta = json.loads(spark.read.text(f"{root}/meta").first()[0])
+        storage = ParquetStorage(spark, where) if isinstance(where, str) else where
+        if not storage.exists():
+            raise OtherError(f"no repository: {where}")
+        meta = storage.read_meta()
         if name is not None and name != meta["name"]:
             raise OtherError(f"the repository is named {meta['name']!r}, not {name!r}")
-        return cls(spark, root, meta, config or Config())
+        return cls(spark, storage, meta, config or Config())
+
+    @property
+    def root(self) -> str | None:
+        return getattr(self.storage, "root", None)
 
     @property
     def name(self) -> str:
@@ -110,14 +119,27 @@ class Repository:
         return len(self._queue)
 
     def load_range(self, ss0: int, ss1: int) -> None:
-        """Only the history of snapshots ss0 to ss1 - 1: directories outside are not read."""
+        """Only the history of snapshots ss0 to ss1 - 1: directories outside are not read.
+
+        The range ends with the newest snapshot and begins with one that is there: missing ones are
+        walked back over. What is loaded already stays, and so does all between it and the range.
+        """
         if ss0 > ss1:
             raise ArgError("an empty range")
-        self.range = (max(0, ss0), ss1)
+        have = sorted(r[0] for r in self.storage.index().select("ss").distinct().collect())
+        lo = max((s for s in have if s <= ss0), default=0)
+        hi = max(min(ss1, (have[-1] if have else 0) + 1), lo + 1)
+        if self.range:
+            lo, hi = min(lo, self.range[0]), max(hi, self.range[1])
+        self.range = (lo, hi)
+        logs = self.storage.log_numbers().agg(F.max("ss")).first()[0]
+        if logs is not None and logs > (have[-1] if have else -1):
+            self.config.policy.force_snapshot()  # the head's snapshot is missing
 
     def load_latest(self) -> None:
-        last = self.snapshot_index().agg(F.max("ss")).first()[0]
-        self.range = (last, last + PROBES)
+        last = self.storage.index().agg(F.max("ss")).first()[0] or 0
+        self.range = None
+        self.load_range(last, last + PROBES)
 
     def load_all(self) -> None:
         self.range = None
@@ -139,7 +161,7 @@ class Repository:
     # ---- frames ----
 
     def commits(self) -> DataFrame:
-        every = self.spark.read.schema(COMMITS).parquet(f"{self.root}/commits")
+        every = self.storage.commits()
         saved = self._ranged(every)
         if self.range:  # a snapshot brings the commit of its own state along
             saved = saved.unionByName(every.join(self.snapshot_index().select("statesum"), "statesum", "left_semi").select(*saved.columns))
@@ -148,15 +170,13 @@ class Repository:
         return dag.known_once(saved)
 
     def changes(self) -> DataFrame:
-        schema = f"statesum string, elt_id bigint, op string, elt {self.meta['elt_type']}, ss bigint, cl bigint"
-        path = f"{self.root}/changes"
-        out = self._ranged(self.spark.read.schema(schema).parquet(path)) if self._exists(self.spark, path) else self.spark.createDataFrame([], schema)
+        out = self._ranged(self.storage.changes(self.meta["elt_type"]))
         for c, rows in self._queue:
             out = out.unionByName(rows.select(F.lit(c["statesum"]).alias("statesum"), "elt_id", "op", "elt", F.lit(-1).cast("bigint").alias("ss"), F.lit(-1).cast("bigint").alias("cl")))
         return out
 
     def snapshot_index(self) -> DataFrame:
-        return self._ranged(self.spark.read.schema("statesum string, ss bigint").parquet(f"{self.root}/snapshot_index"))
+        return self._ranged(self.storage.index())
 
     def _commit(self, statesum: str) -> dict | None:
         got = self.commits().where(F.col("statesum") == statesum).limit(1).collect()
@@ -167,14 +187,17 @@ class Repository:
     def tips(self) -> list[str]:
         return [r[0] for r in dag.tips(self.commits()).select("statesum").orderBy("statesum").collect()]
 
+    def _up_to_two_tips(self) -> int:
+        return dag.tips(self.commits()).limit(2).count()
+
     def is_loaded(self) -> bool:
-        return bool(self.tips())
+        return self._up_to_two_tips() > 0
 
     def is_ready(self) -> bool:
-        return len(self.tips()) == 1
+        return self._up_to_two_tips() == 1
 
     def merge_required(self) -> bool:
-        return len(self.tips()) > 1
+        return self._up_to_two_tips() > 1
 
     def tip_key(self) -> str:
         found = self.tips()
@@ -201,10 +224,16 @@ class Repository:
         head = self.spark.createDataFrame([(0, key)], "key bigint, id string")
         way = self.scratch.cut(way_from(head, links, scratch=self.scratch))
         at = way.join(self.snapshot_index(), F.col("id") == F.col("statesum")).orderBy("dist", "ss").select("ss", "dist").limit(1).collect()
-        if not at:
-            raise NoParent("no snapshot below this state is loaded")
-        ss, dist = at[0]
-        base = self.spark.read.schema(f"elt_id bigint, elt {self.meta['elt_type']}").parquet(f"{self.root}/snapshots/ss={ss}")
+        if at:
+            ss, dist = at[0]
+            base = self.storage.snapshot(ss, self.meta["elt_type"])
+        else:
+            first = way.orderBy(F.col("dist").desc()).join(commits.where("number = 0").select(F.col("statesum").alias("id")), "id", "left_semi")
+            unknown = way.join(commits.select(F.col("statesum").alias("id"), "number"), "id", "left").where("number IS NULL").count()
+            if self.range and self.range[0] > 0 or not (unknown or first.count()):
+                raise NoParent("no snapshot below this state is loaded")
+            # the first snapshot is missing: history begins with the blank state
+            dist, base = 2**62, self.spark.createDataFrame([], f"elt_id bigint, elt {self.meta['elt_type']}")
         since = way.where(F.col("dist") < dist).select(F.col("id").alias("statesum"), (-F.col("dist")).alias("pos"))
         rows = self.changes().join(since, "statesum").select("elt_id", "op", "elt", "pos")
         return replay.replay(rows, ["pos"], base)
@@ -219,7 +248,7 @@ class Repository:
 
     def _digest(self) -> F.Column:
         if self.meta["digest"] == "blake2":
-            return F.hex(sums.element_blake2("elt_id", F.col("elt").cast("binary")))
+            return F.hex(sums.element_blake2("elt_id", element_codec(self.meta["elt_type"], getattr(self.storage, "codecs", None))[0](F.col("elt"))))
         return sums.element_digest("elt_id", "elt")
 
     def _elements_sum(self, rows: DataFrame) -> str:
@@ -242,13 +271,6 @@ class Repository:
         if self.config.readonly:
             raise ReadOnly("the repository is read-only")
 
-    def _write_commits(self, rows: list[dict], ss: int, cl: int) -> None:
-        bare = ", ".join(COMMITS.split(", ")[:-2])
-        self.spark.createDataFrame(rows, bare).coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/commits/ss={ss}/cl={cl}")
-
-    def _index(self, ss: int, statesum: str) -> None:
-        self.spark.createDataFrame([(statesum,)], "statesum string").coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/snapshot_index/ss={ss}")
-
     def draft(self, statesum: str | None = None) -> Draft:
         return Draft(self, statesum or self.tip_key())
 
@@ -269,9 +291,16 @@ class Repository:
         self.config.policy.count(1, row["n_changes"])
         return row["statesum"]
 
-    def push_commit(self, statesum: str, parents: list[str], delta: DataFrame, *, number: int, ts: int, ext_flags: int = 0, extra: str | None = None) -> bool:
-        """Adds a commit made elsewhere; False if it is known. It must apply to its first parent and give its sum."""
+    def push_commit(
+        self, statesum: str, parents: list[str], delta: DataFrame, *, number: int, ts: int, ext_flags: int = 0, extra: str | None = None, onto: str | None = None
+    ) -> bool:
+        """Adds a commit made elsewhere; False if it is known. It must apply to its first parent and give its sum.
+
+        ``onto`` names the state that it is meant for; WrongParent if that is not its first parent.
+        """
         self._writable()
+        if onto is not None and parents[:1] != [onto]:
+            raise WrongParent(f"the commit is not relative to {onto}")
         if self._commit(statesum) is not None:
             return False
         first = self._commit(parents[0]) if parents else None
@@ -293,29 +322,30 @@ class Repository:
         self._writable()
         if not self._queue:
             return False
-        # numbers as written, whatever range is loaded
-        ss = self.spark.read.schema("statesum string, ss bigint").parquet(f"{self.root}/snapshot_index").agg(F.max("ss")).first()[0]
-        cl = 1 + (self.spark.read.schema(COMMITS).parquet(f"{self.root}/commits").where(F.col("ss") == ss).agg(F.max("cl")).first()[0] or 0)
+        # numbers as written, whatever range is loaded; should another writer take one, the next is tried
+        ss = self.storage.index().agg(F.max("ss")).first()[0] or 0
+        cl = 1 + (self.storage.log_numbers().where(F.col("ss") == ss).agg(F.max("cl")).first()[0] or 0)
         rows = [{**c, "seq": i} for i, (c, _) in enumerate(self._queue)]
-        out = None
-        for c, delta in self._queue:
-            named = delta.select(F.lit(c["statesum"]).alias("statesum"), "elt_id", "op", "elt")
-            out = named if out is None else out.unionByName(named)
-        out.sortWithinPartitions("elt_id").write.mode("errorifexists").parquet(f"{self.root}/changes/ss={ss}/cl={cl}")
-        self._write_commits(rows, ss, cl)
-        self._queue.clear()
-        return True
+        named = [delta.select(F.lit(c["statesum"]).alias("statesum"), "elt_id", "op", "elt") for c, delta in self._queue]
+        out = reduce(DataFrame.unionByName, named)
+        for cl in range(cl, cl + PROBES):
+            if self.storage.new_log(ss, cl, rows, out):
+                self._queue.clear()
+                return True
+        raise OtherError("no free number for the log")
 
     def write_snapshot(self) -> int:
         """The single tip under the next free number; raises if there is none or more than one."""
         self._writable()
         self.write_fast()
         tip = self.tip_key()
-        ss = 1 + self.spark.read.schema("statesum string, ss bigint").parquet(f"{self.root}/snapshot_index").agg(F.max("ss")).first()[0]
-        self.state(tip).repartitionByRange("elt_id").sortWithinPartitions("elt_id").write.mode("errorifexists").parquet(f"{self.root}/snapshots/ss={ss}")
-        self._index(ss, tip)
-        self.config.policy.reset()
-        return ss
+        row, state = self._commit(tip), self.state(tip)
+        ss = 1 + (self.storage.index().agg(F.max("ss")).first()[0] or 0)
+        for ss in range(ss, ss + PROBES):
+            if self.storage.new_snapshot(ss, row, state):
+                self.config.policy.reset()
+                return ss
+        raise OtherError("no free number for the snapshot")
 
     def write_full(self) -> bool:
         """``write_fast``, then a snapshot if the policy wants one and there is one tip."""
@@ -402,6 +432,15 @@ class Draft:
         self.insert(self.repo.spark.createDataFrame([(i, elt)], f"elt_id bigint, elt {self.repo.meta['elt_type']}"))
         return i
 
+    def insert_all_new(self, rows: DataFrame) -> DataFrame:
+        """Inserts every row's elt under an id of its own that is free in the state and the draft; the rows with their ids."""
+        scratch = self.repo.scratch
+        numbered = scratch.cut(rows.select("elt").withColumn("elt_id", F.monotonically_increasing_id()))
+        ids = ch.ranked_new_ids(numbered, [self.base(), *self._steps], scratch=scratch)
+        new = scratch.cut(numbered.join(ids, "elt_id").select(F.col("new_id").alias("elt_id"), "elt"))
+        self.insert(new)
+        return new
+
     def state(self) -> DataFrame:
         return ch.patch(self.base(), self._delta(self.base()))
 

@@ -7,7 +7,8 @@ files on any file system is read in parallel. Element ids come out as signed BIG
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 from pathlib import Path
 
 import pandas as pd
@@ -17,12 +18,16 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strata.errors import PathError, ReadOnly
 from strata.functions.text import LOG_NAME, SNAPSHOT_NAME, file_parts
-from strata.sources import codec
+from strata.sources import codec, streams
 
 ELEMENTS = "path string, ss bigint, statesum string, elt_id bigint, data binary"
 COMMITS = "path string, ss bigint, cl bigint, seq bigint, statesum string, parents array<string>, number bigint, ts bigint, ext_flags int, extra string, n_changes bigint"
 CHANGES = "path string, ss bigint, cl bigint, seq bigint, statesum string, elt_id bigint, op string, data binary"
-SCHEMAS = {"elements": ELEMENTS, "commits": COMMITS, "changes": CHANGES}
+STATES = "path string, ss bigint, statesum string, parents array<string>, number bigint, ts bigint, ext_flags int, extra string, n_elements bigint"
+SCHEMAS = {"elements": ELEMENTS, "states": STATES, "commits": COMMITS, "changes": CHANGES}
+OF_SNAPSHOTS = ("elements", "states")
+#: Rows handed on at once.
+ROWS = 4096
 
 
 def _signed(i: int) -> int:
@@ -33,11 +38,15 @@ def decoded(what: str, path: str, ss: int, cl: int | None, data: bytes) -> Itera
     """Rows of one file; files of the other kind give none."""
     src = codec.Input(data)
     header = codec.read_header(src)
-    if what == "elements" and header.kind == "snapshot":
+    if what in OF_SNAPSHOTS and header.kind == "snapshot":
         s = codec.read_snapshot(src, header.version)
+        if what == "states":
+            m = s.meta
+            yield path, ss, s.statesum.hex().upper(), [p.hex().upper() for p in s.parents], m.number, m.timestamp, m.flags, m.extra, len(s.elements)
+            return
         for i, x in s.elements.items():
             yield path, ss, s.statesum.hex().upper(), _signed(i), x
-    elif what != "elements" and header.kind == "log":
+    elif what not in OF_SNAPSHOTS and header.kind == "log":
         for seq, c in enumerate(codec.read_log(src, header.version)):
             name = c.statesum.hex().upper()
             if what == "commits":
@@ -48,6 +57,14 @@ def decoded(what: str, path: str, ss: int, cl: int | None, data: bytes) -> Itera
                     yield path, ss, cl, seq, name, _signed(i), op, x
 
 
+def frames_of(what: str, path: str, ss: int, cl: int | None, data: bytes) -> Iterator[pd.DataFrame]:
+    """The rows of one file as frames of at most ``ROWS`` rows."""
+    names = [x.split()[0] for x in SCHEMAS[what].split(", ")]
+    rows = decoded(what, path, ss, cl, data)
+    while part := list(islice(rows, ROWS)):
+        yield pd.DataFrame(part, columns=names)
+
+
 def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """(path, name, basename, ss, cl, kind) of the snapshot and log files of a folder, not of its subfolders."""
     found = spark.read.format("binaryFile").load(folder).select("path")
@@ -56,25 +73,24 @@ def catalogue(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lengths(files: DataFrame) -> DataFrame:
-    """(ss_len, n_snapshots, n_logs): the largest number of either kind plus one, and the counts."""
+    """(ss_len, cl_len, n_snapshots, n_logs): the largest snapshot's and log's number plus one, and the counts."""
     return files.agg(
-        (F.coalesce(F.max("ss"), F.lit(-1)) + 1).alias("ss_len"), F.count_if(F.col("kind") == "snapshot").alias("n_snapshots"), F.count_if(F.col("kind") == "log").alias("n_logs")
+        (F.coalesce(F.max("ss"), F.lit(-1)) + 1).alias("ss_len"), (F.coalesce(F.max("cl"), F.lit(-1)) + 1).alias("cl_len"), F.count_if(F.col("kind") == "snapshot").alias("n_snapshots"), F.count_if(F.col("kind") == "log").alias("n_logs")
     )
 
 
-def read(spark: SparkSession, folder: str, what: str, basename: str | None = None) -> DataFrame:
-    """'elements' of snapshots, or 'commits' or 'changes' of logs."""
+def read(spark: SparkSession, folder: str | list[str], what: str, basename: str | None = None) -> DataFrame:
+    """'elements' or 'states' of snapshots, 'commits' or 'changes' of logs."""
     rows = spark.read.format("binaryFile").load(folder).select("path", "content")
     rows = rows.withColumn("p", file_parts(F.element_at(F.split("path", "/"), -1)))
-    wanted = rows.where(F.col("p.kind") == ("snapshot" if what == "elements" else "log"))
+    wanted = rows.where(F.col("p.kind") == ("snapshot" if what in OF_SNAPSHOTS else "log"))
     if basename is not None:
         wanted = wanted.where(F.col("p.basename") == basename)
-    names = [x.split()[0] for x in SCHEMAS[what].split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for path, ss, cl, data in zip(f["path"], f["ss"], f["cl"], f["content"]):
-                yield pd.DataFrame(list(decoded(what, path, int(ss), None if pd.isna(cl) else int(cl), bytes(data))), columns=names)
+                yield from frames_of(what, path, int(ss), None if pd.isna(cl) else int(cl), bytes(data))
 
     return wanted.select("path", "p.ss", "p.cl", "content").mapInPandas(run, SCHEMAS[what])
 
@@ -133,13 +149,19 @@ class Found:
     def has_snapshot(self, ss: int) -> bool:
         return ss in self.snapshots
 
-    def _create(self, name: str, data: bytes) -> Path | None:
+    def read_snapshot(self, ss: int) -> bytes | None:
+        return self.snapshots[ss].read_bytes() if ss in self.snapshots else None
+
+    def read_log(self, ss: int, cl: int) -> bytes | None:
+        return self.logs[ss, cl].read_bytes() if (ss, cl) in self.logs else None
+
+    def _create(self, name: str, data: bytes | Iterable[bytes]) -> Path | None:
         if self.readonly:
             raise ReadOnly("the repository is read-only")
         path = self.folder / ((self.basename + "-" if self.basename else "") + name)
         try:
             with path.open("xb") as f:
-                f.write(data)
+                f.writelines(streams.pieces(data))
         except FileExistsError:
             return None
         return path
@@ -201,50 +223,143 @@ def discover(path: str, readonly: bool = False) -> Found:
     return found or Found(p, wanted or "", readonly)
 
 
-def export_snapshots(state: DataFrame, folder: str, name: str, meta: codec.Meta, files: int = 1) -> DataFrame:
-    """Writes (elt_id, data) as snapshot files and gives (path, n, statesum).
+class HadoopFiles(streams.MemoryStore):
+    """Files of one repository in a folder of any file system that Spark reaches; the driver lists and writes them, the tasks read them."""
+
+    def __init__(self, spark: SparkSession, folder: str, basename: str | None = None, readonly: bool = False):
+        self.spark, self.folder, self.readonly = spark, folder.rstrip("/"), readonly
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        where = self._path(self.folder)
+        self.fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.basename = basename
+        self.snapshots, self.logs = {}, {}
+        found = sorted(f.getPath().getName() for f in self.fs.listStatus(where) if f.isFile()) if self.fs.exists(where) else []
+        for name in found:
+            own = basename_of(name)
+            if own is None or own != (self.basename if self.basename is not None else own):
+                continue
+            self.basename = own  # the first one by name wins
+            if m := re.match(SNAPSHOT_NAME, name):
+                self.snapshots[int(m[2])] = name
+            else:
+                m = re.match(LOG_NAME, name)
+                self.logs[int(m[2]), int(m[3])] = name
+        self.basename = self.basename or ""
 
-    The format holds a state in one file; a larger one is cut by element id into ``files`` parts,
-    each complete in itself and numbered as a snapshot of its own.
-    """
-    header = codec.Header("snapshot", name)
+    def _bytes(self, name: str | None) -> bytes | None:
+        if name is None:
+            return None
+        stream = self.fs.open(self._path(f"{self.folder}/{name}"))
+        try:
+            return bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    def read_snapshot(self, ss: int) -> bytes | None:
+        return self._bytes(self.snapshots.get(ss))
 
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        rows = [(int(i), bytes(d)) for i, d in zip(f["elt_id"], f["data"])]
-        raw = codec.write_snapshot_file(rows, [], meta, header)
-        path = f"{folder}/{name}-ss{key[0]}.pip"
-        with open(path.removeprefix("file://"), "wb") as out:
-            out.write(raw)
-        return pd.DataFrame({"path": [path], "n": [len(rows)], "statesum": [codec.state_sum(rows, [], meta).hex().upper()]})
+    def read_log(self, ss: int, cl: int) -> bytes | None:
+        return self._bytes(self.logs.get((ss, cl)))
 
-    part = F.pmod(F.xxhash64("elt_id"), F.lit(files)).alias("part")
-    return state.select(part, "elt_id", "data").groupBy("part").applyInPandas(run, "path string, n bigint, statesum string")
+    def rows(self, spark: SparkSession, what: str, numbers: list[tuple[int, int | None]]) -> DataFrame:
+        """What the files of these numbers hold, decoded in the tasks."""
+        if not numbers:
+            return spark.createDataFrame([], SCHEMAS[what])
+        names = [self.snapshots.get(ss) if cl is None else self.logs.get((ss, cl)) for ss, cl in numbers]
+        return read(spark, [f"{self.folder}/{n}" for n in names if n], what, self.basename)
 
+    def _create(self, name: str, data: bytes | Iterable[bytes]) -> str | None:
+        from py4j.protocol import Py4JJavaError
+
+        self._writable()
+        name = (self.basename + "-" if self.basename else "") + name
+        path = self._path(f"{self.folder}/{name}")
+        try:
+            out = self.fs.create(path, False)
+        except Py4JJavaError:
+            if self.fs.exists(path):
+                return None
+            raise
+        for piece in streams.pieces(data):
+            out.write(bytearray(piece))
+        out.close()
+        return name
+
+    def new_snapshot(self, ss: int, data: bytes | Iterable[bytes]) -> bool:
+        if ss in self.snapshots or not (name := self._create(f"ss{ss}.pip", data)):
+            return False
+        self.snapshots[ss] = name
+        return True
 
-def roundtrip_snapshot(state: DataFrame, meta: codec.Meta, files: int = 64) -> DataFrame:
-    """(elt_id, data) after encoding into snapshot files and decoding them again, in the tasks."""
+    def new_log(self, ss: int, cl: int, data: bytes | Iterable[bytes]) -> bool:
+        if (ss, cl) in self.logs or not (name := self._create(f"ss{ss}-cl{cl}.piplog", data)):
+            return False
+        self.logs[ss, cl] = name
+        return True
+
+    def append_log(self, ss: int, cl: int, data: bytes) -> bool:
+        self._writable()
+        if (ss, cl) not in self.logs:
+            return False
+        out = self.fs.append(self._path(f"{self.folder}/{self.logs[ss, cl]}"))
+        out.write(bytearray(data))
+        out.close()
+        return True
+
+
+def export_snapshot(state: DataFrame, store, ss: int, header: codec.Header, meta: codec.Meta, parents: list[bytes] = (), word: bytes = codec.WORD) -> bool:
+    """Writes (elt_id, data) as snapshot ``ss``, one file whatever number of tasks encode it; False if the number is taken.
+
+    Elements are sorted and encoded by ranges of their ids in the tasks, and pass through the driver
+    in pieces of at most ``ROWS`` elements, of which it holds one partition at a time.
+    """
+    wanted = state.select("elt_id", "data").withColumn("high", F.col("elt_id") < 0)
+    encoded = wanted.repartitionByRange("high", "elt_id").sortWithinPartitions("high", "elt_id").select("elt_id", "data")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), ROWS):
+                part = f.iloc[at : at + ROWS]
+                raw, total = [], codec.ZERO
+                for i, d in zip(part["elt_id"], part["data"]):
+                    x, own = codec.element_bytes(int(i) % 2**64, bytes(d))
+                    raw.append(x)
+                    total = codec.xor_bytes(total, own)
+                yield pd.DataFrame({"raw": [b"".join(raw)], "total": [total], "n": [len(part)]})
+
+    pieces = encoded.mapInPandas(run, "raw binary, total binary, n bigint").persist()  # counted first, then passed on
+    n = pieces.agg(F.sum("n")).first()[0] or 0
+    parts = ((bytes(r["raw"]), bytes(r["total"])) for r in pieces.select("raw", "total").toLocalIterator())
+    try:
+        return store.new_snapshot(ss, chain([codec.write_header(header, word)], codec.snapshot_stream(parts, n, parents, meta)))
+    finally:
+        pieces.unpersist()
+
+
+def roundtrip_snapshot(state: DataFrame, meta: codec.Meta) -> DataFrame:
+    """(elt_id, data) after encoding into snapshot files, one per Arrow batch, and decoding them again, in the tasks."""
     header = codec.Header("snapshot", "roundtrip")
 
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        raw = codec.write_snapshot_file([(int(i), bytes(d)) for i, d in zip(f["elt_id"], f["data"])], [], meta, header)
-        _, s = codec.read_snapshot_file(raw)
-        return pd.DataFrame({"elt_id": [_signed(i) for i in s.elements], "data": list(s.elements.values())})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            raw = codec.write_snapshot_file([(int(i), bytes(d)) for i, d in zip(f["elt_id"], f["data"])], [], meta, header)
+            _, s = codec.read_snapshot_file(raw)
+            yield pd.DataFrame({"elt_id": [_signed(i) for i in s.elements], "data": list(s.elements.values())})
 
-    part = F.pmod(F.xxhash64("elt_id"), F.lit(files)).alias("part")
-    out = state.select(part, "elt_id", "data").groupBy("part").applyInPandas(run, "elt_id bigint, data binary")
+    out = state.select("elt_id", "data").mapInPandas(run, "elt_id bigint, data binary")
     return out.select("elt_id", F.col("data").cast("string").alias("elt"))
 
 
-def roundtrip_log(changes: DataFrame, meta: codec.Meta, commits: int = 64) -> DataFrame:
-    """(elt_id, op, data) after encoding into a log of many commits and decoding it again."""
+def roundtrip_log(changes: DataFrame, meta: codec.Meta) -> DataFrame:
+    """(elt_id, op, data) after encoding into logs, a commit per Arrow batch, and decoding them again."""
     header = codec.Header("log", "roundtrip")
 
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        rows = tuple((int(i), op, None if d is None else bytes(d)) for i, op, d in zip(f["elt_id"], f["op"], f["data"]))
-        raw = codec.write_log([codec.Commit(codec.ZERO, (codec.ZERO,), meta, rows)], header)
-        _, got = codec.read_log_file(raw)
-        return pd.DataFrame([(_signed(i), op, d) for i, op, d in got[0].changes], columns=["elt_id", "op", "data"])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = tuple((int(i), op, None if d is None else bytes(d)) for i, op, d in zip(f["elt_id"], f["op"], f["data"]))
+            _, got = codec.read_log_file(codec.write_log([codec.Commit(codec.ZERO, (codec.ZERO,), meta, rows)], header))
+            yield pd.DataFrame([(_signed(i), op, d) for i, op, d in got[0].changes], columns=["elt_id", "op", "data"])
 
-    part = F.pmod(F.xxhash64("elt_id"), F.lit(commits)).alias("part")
-    out = changes.select(part, "elt_id", "op", "data").groupBy("part").applyInPandas(run, "elt_id bigint, op string, data binary")
+    out = changes.select("elt_id", "op", "data").mapInPandas(run, "elt_id bigint, op string, data binary")
     return out.select("elt_id", "op", F.col("data").cast("string").alias("elt"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from strata.errors import ReadOnly
 
 
+def pieces(data: bytes | Iterable[bytes]) -> Iterable[bytes]:
+    return (data,) if isinstance(data, bytes | bytearray) else data
+
+
 class MemoryStore:
     """Keeps what is written; never replaces it. A log needs its snapshot's number."""
 
@@ -32,18 +38,18 @@ class MemoryStore:
     def read_log(self, ss: int, cl: int) -> bytes | None:
         return self.logs.get((ss, cl))
 
-    def new_snapshot(self, ss: int, data: bytes) -> bool:
+    def new_snapshot(self, ss: int, data: bytes | Iterable[bytes]) -> bool:
         self._writable()
         if ss in self.snapshots:
             return False
-        self.snapshots[ss] = data
+        self.snapshots[ss] = b"".join(pieces(data))
         return True
 
-    def new_log(self, ss: int, cl: int, data: bytes) -> bool:
+    def new_log(self, ss: int, cl: int, data: bytes | Iterable[bytes]) -> bool:
         self._writable()
         if ss not in self.snapshots or (ss, cl) in self.logs:
             return False
-        self.logs[ss, cl] = data
+        self.logs[ss, cl] = b"".join(pieces(data))
         return True
 
     def append_log(self, ss: int, cl: int, data: bytes) -> bool:

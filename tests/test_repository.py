@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from strata import cli
-from strata.errors import ArgError, EltNotFound, IdClash, MergeRequired, NoMatch, NotSolved, OtherError, PatchApply, ReadOnly
+from strata.errors import WrongParent, ArgError, EltNotFound, IdClash, MergeRequired, NoMatch, NotSolved, OtherError, PatchApply, ReadOnly
 from strata.operators import merge
 from strata.repository import Config, Repository
 from strata.streaming import tail
@@ -166,3 +166,63 @@ def test_stream_of_changes(spark, tmp_path):
     q2 = tail.counts(tail.changes_stream(spark, str(tmp_path / "in"))).writeStream.outputMode("update").format("memory").queryName("counted").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start()
     q2.awaitTermination(120)
     assert dict(rows(spark.table("counted"), "op", "n")) == {"INS": 3, "DEL": 1}
+
+
+def test_binary_repositories(spark, tmp_path):
+    """Created, edited, merged, written and opened again behind a store in memory and behind files."""
+    from strata.operators import merge
+    from strata.sources import codec, files
+    from strata.sources.streams import MemoryStore
+    from strata.storage import BinaryStorage
+
+    (tmp_path / "bin").mkdir()
+    elts = lambda *x: spark.createDataFrame(x, "elt_id bigint, elt string")
+    for provider in (MemoryStore(), files.HadoopFiles(spark, f"file://{tmp_path}/bin", "book")):
+        ticks = iter(range(10**6))
+        config = lambda: Config(clock=lambda: next(ticks))
+        storage = BinaryStorage(spark, provider, elt_type="string")
+        repo = Repository.create(spark, storage, "book", user={"by": "me"}, config=config())
+        first = repo.draft().insert(elts((1, "one"), (-2, "m\u00e4x"), (3, "three"))).push()
+        assert repo.write_fast() and not repo.write_fast()
+        again = Repository.open(spark, BinaryStorage(spark, provider, elt_type="string"), name="book", config=config())
+        assert rows(again.state()) == sorted([(1, "one"), (-2, "m\u00e4x"), (3, "three")], key=str) and again.verify()
+        a = again.draft(first).replace(elts((1, "uno"))).insert(elts((9, "a"))).push()
+        b = again.draft(first).remove(elts((3, ""))).insert(elts((9, "b"))).push()
+        assert sorted((a, b)) == again.tips() and again.merge_required()
+        again.merge(merge.chain(merge.ancestor, merge.renaming))
+        assert again.is_ready()
+        got = dict(rows(again.state()))
+        assert got.pop(1) == "uno" and got.pop(-2) == "m\u00e4x" and sorted(got.values()) == ["a", "b"] and 3 not in got
+        ss = again.write_snapshot()
+        last = Repository.open(spark, BinaryStorage(spark, provider, elt_type="string"), config=config())
+        last.load_latest()
+        assert last.range == (ss, ss + 1) and last.verify() and dict(rows(last.state())).items() >= got.items()
+        head, snap = codec.read_snapshot_file(provider.read_snapshot(ss))
+        assert head.name == "book" and head.user == (codec.Field("text", "by=me"),) and len(snap.elements) == 4 and len(snap.parents) == 2
+        # a writer that did not see the last number takes the next
+        late = Repository.open(spark, BinaryStorage(spark, provider, elt_type="string"), config=config())
+        tip = late.tip_key()
+        late.draft(tip).insert(elts((77, "late"))).push()
+        assert provider.new_log(ss, 1, codec.write_log([], codec.Header("log", "book")))
+        assert late.write_fast() and (ss, 2) in provider.logs and dict(rows(late.state()))[77] == "late"
+
+
+def test_numbers_taken_by_another_writer_and_gaps(spark, tmp_path):
+    elts = lambda *x: spark.createDataFrame(x, "elt_id bigint, elt string")
+    repo = Repository.create(spark, str(tmp_path / "r"), "r")
+    for i in range(3):
+        repo.draft().insert(elts((i, "x"))).push()
+        assert repo.write_snapshot() == i + 1
+    repo.draft().insert(elts((7, "y"))).push()
+    assert repo.storage._claim("ss3-cl1") and repo.storage._claim("ss4")  # another writer has these
+    assert repo.write_fast() and rows(repo.storage.log_numbers().where("ss = 3")) == [(3, 2)]
+    assert repo.write_snapshot() == 5
+    one = Repository.open(spark, str(tmp_path / "r"))
+    one.load_range(4, 99)
+    assert one.range == (3, 6) and len(rows(one.state())) == 4  # 4 is missing: back to 3
+    one.load_range(1, 2)
+    assert one.range == (1, 6) and one.oldest_ss_loaded == 1  # what lies between is loaded too
+    with pytest.raises(WrongParent):
+        one.push_commit("A" * 64, [one.tip_key()], elts(), number=9, ts=1, onto="B" * 64)
+    new = one.draft().insert_all_new(spark.createDataFrame([("p",), ("p",), ("q",)], "elt string"))
+    assert sorted(r["elt_id"] for r in new.collect()) == [8, 9, 10]
