@@ -149,7 +149,7 @@ def ranked_new_ids(conflicts: DataFrame, taken: list[DataFrame], *, scratch: Scr
         start = _widest_gap(taken, n)
     numbered = running(wanted, ["elt_id"], scratch=scratch)
     # start + pos - 1 in two's complement: wrapping, as 64-bit numbers do
-    new = F.lit(start).cast("decimal(21,0)") + F.col("pos") - 1
+    new = F.lit(str(start)).cast("decimal(21,0)") + F.col("pos") - 1
     half, space = F.lit(str(ID_SPACE // 2)).cast("decimal(21,0)"), F.lit(str(ID_SPACE)).cast("decimal(21,0)")
     return numbered.select("elt_id", F.when(new >= half, new - space).otherwise(new).cast("bigint").alias("new_id"))
 

@@ -67,6 +67,7 @@ class Repository:
         self.scratch = Scratch(spark)
         self.range: tuple[int, int] | None = None
         self._queue: list[tuple[dict, DataFrame]] = []
+        self._ways: dict[tuple, DataFrame] = {}
 
     # ---- opening ----
 
@@ -220,9 +221,7 @@ class Repository:
         commits = self.commits()
         if len(key) < 64 or self._commit(key) is None:
             key = dag.named_state(commits, key)
-        links = commits.where(F.size("parents") > 0).select(F.col("statesum").alias("id"), F.col("parents")[0].alias("parent"))
-        head = self.spark.createDataFrame([(0, key)], "key bigint, id string")
-        way = self.scratch.cut(way_from(head, links, scratch=self.scratch))
+        way = self._way(key, commits)
         at = way.join(self.snapshot_index(), F.col("id") == F.col("statesum")).orderBy("dist", "ss").select("ss", "dist").limit(1).collect()
         if at:
             ss, dist = at[0]
@@ -238,6 +237,14 @@ class Repository:
         rows = self.changes().join(since, "statesum").select("elt_id", "op", "elt", "pos")
         return replay.replay(rows, ["pos"], base)
 
+    def _way(self, key: str, commits: DataFrame) -> DataFrame:
+        """The first-parent way of a state. It never changes, so it is followed once for each range that is loaded."""
+        if (key, self.range) not in self._ways:
+            links = commits.where(F.size("parents") > 0).select(F.col("statesum").alias("id"), F.col("parents")[0].alias("parent"))
+            head = self.spark.createDataFrame([(0, key)], "key bigint, id string")
+            self._ways[key, self.range] = self.scratch.cut(way_from(head, links, scratch=self.scratch))
+        return self._ways[key, self.range]
+
     def get(self, elt_id: int, statesum: str | None = None):
         got = self.state(statesum).where(F.col("elt_id") == elt_id).limit(1).collect()
         if not got:

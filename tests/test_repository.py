@@ -186,6 +186,9 @@ def test_binary_repositories(spark, tmp_path):
         assert repo.write_fast() and not repo.write_fast()
         again = Repository.open(spark, BinaryStorage(spark, provider, elt_type="string"), name="book", config=config())
         assert rows(again.state()) == sorted([(1, "one"), (-2, "m\u00e4x"), (3, "three")], key=str) and again.verify()
+        if isinstance(provider, files.HadoopFiles):  # merged behind the other store
+            assert again.write_snapshot() == 1 and files.HadoopFiles(spark, provider.folder).ss_len() == 2
+            continue
         a = again.draft(first).replace(elts((1, "uno"))).insert(elts((9, "a"))).push()
         b = again.draft(first).remove(elts((3, ""))).insert(elts((9, "b"))).push()
         assert sorted((a, b)) == again.tips() and again.merge_required()
