@@ -368,7 +368,10 @@ def way_from(heads: DataFrame, links: DataFrame | Jumps, *, seen: list[DataFrame
     parts = [scratch.cut(heads.select("key", "id", F.lit(0).cast("bigint").alias("dist")).where("id IS NOT NULL"))]
     k = 0
     while True:
-        new = reduce(DataFrame.unionByName, parts).join(jumps.of(k), "id").select("key", F.col("ptr").alias("id"), (F.col("dist") + 2**k).alias("dist"))
+        jump = jumps.of(k)
+        if k and jumps is not links:  # no later call asks for the shorter ones
+            scratch.drop(jumps.of(k - 1))
+        new = reduce(DataFrame.unionByName, parts).join(jump, "id").select("key", F.col("ptr").alias("id"), (F.col("dist") + 2**k).alias("dist"))
         if seen:
             new = new.join(reduce(DataFrame.unionByName, seen), ["key", "id"], "left_anti")
         new, n, _ = scratch.counted(new)
