@@ -71,9 +71,10 @@ def _exported(spark, d) -> files.HadoopFiles:
     files.export_snapshot(_bytes(spark, d, "C"), store, 0, header, codec.Meta(1, 946684800))
     files.export_snapshot(_bytes(spark, d, "A"), store, 3, header, codec.Meta(2, 946688400))
     delta = changes.diff(_bytes(spark, d, "C").withColumnRenamed("data", "elt"), _bytes(spark, d, "A").withColumnRenamed("data", "elt"))
-    rows = tuple((i % 2**64, op, None if x is None else bytes(x)) for i, op, x in delta.select("elt_id", "op", "elt").toLocalIterator())
-    one = codec.Commit(b"\1" * 32, (b"\2" * 32,), codec.Meta(2, 946688400), rows)
-    store.new_log(0, 1, codec.write_log([one], codec.Header("log", "orders")))
+    with Scratch(spark) as scratch:
+        rows = scratch.cut(delta.select(F.lit(0).cast("bigint").alias("seq"), "elt_id", "op", F.col("elt").alias("data")))
+        one = codec.Commit(b"\1" * 32, (b"\2" * 32,), codec.Meta(2, 946688400))
+        files.export_log(rows, [one], store, 0, 1, codec.Header("log", "orders"))
     return files.HadoopFiles(spark, folder)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import chain, groupby, islice
 from pathlib import Path
 
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from strata.errors import PathError, ReadOnly
+from strata.errors import ArgError, PathError, ReadOnly
 from strata.functions.text import LOG_NAME, SNAPSHOT_NAME, file_parts
 from strata.sources import codec, streams
 
@@ -28,6 +28,8 @@ SCHEMAS = {"elements": ELEMENTS, "states": STATES, "commits": COMMITS, "changes"
 OF_SNAPSHOTS = ("elements", "states")
 #: Rows handed on at once.
 ROWS = 4096
+#: Bytes of a file that the driver holds at once while it writes them, about.
+PASSED = 16 << 20
 
 
 def _signed(i: int) -> int:
@@ -308,14 +310,20 @@ class HadoopFiles(streams.MemoryStore):
         return True
 
 
+def _ranges(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows with ``data`` in that order, in as many partitions as keep the bytes of each, once encoded, to about ``PASSED``."""
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("data"), F.lit(0)) + 80)).first()[0] or 0  # the format adds 80 bytes at most
+    return rows.repartitionByRange(-(-size // PASSED) or 1, *order).sortWithinPartitions(*order)
+
+
 def export_snapshot(state: DataFrame, store, ss: int, header: codec.Header, meta: codec.Meta, parents: list[bytes] = (), word: bytes = codec.WORD) -> bool:
     """Writes (elt_id, data) as snapshot ``ss``, one file whatever number of tasks encode it; False if the number is taken.
 
     Elements are sorted and encoded by ranges of their ids in the tasks, and pass through the driver
-    in pieces of at most ``ROWS`` elements, of which it holds one partition at a time.
+    in pieces of at most ``ROWS`` elements, of which it holds one partition of about ``PASSED`` bytes at a time.
     """
     wanted = state.select("elt_id", "data").withColumn("high", F.col("elt_id") < 0)
-    encoded = wanted.repartitionByRange("high", "elt_id").sortWithinPartitions("high", "elt_id").select("elt_id", "data")
+    encoded = _ranges(wanted, "high", "elt_id").select("elt_id", "data")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -337,6 +345,43 @@ def export_snapshot(state: DataFrame, store, ss: int, header: codec.Header, meta
         pieces.unpersist()
 
 
+def export_log(changes: DataFrame, commits: list[codec.Commit], store, ss: int, cl: int, header: codec.Header, word: bytes = codec.WORD) -> bool:
+    """Writes (seq, elt_id, op, data) as log ``cl`` of snapshot ``ss``; False if the number is taken.
+
+    ``seq`` is the position among ``commits``, whose own changes are not looked at. Changes are sorted
+    and encoded in the tasks and pass through the driver as elements do in ``export_snapshot``.
+    """
+    order = ("seq", "high", "elt_id")
+    encoded = _ranges(changes.select("seq", "elt_id", "op", "data").withColumn("high", F.col("elt_id") < 0), *order).select("seq", "elt_id", "op", "data")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for seq, own in f.groupby("seq"):
+                for at in range(0, len(own), ROWS):
+                    part = own.iloc[at : at + ROWS]
+                    raw = [codec.change_bytes(int(i) % 2**64, op, None if d is None else bytes(d)) for i, op, d in zip(part["elt_id"], part["op"], part["data"])]
+                    out.append((seq, b"".join(raw), len(part)))
+            yield pd.DataFrame(out, columns=["seq", "raw", "n"])
+
+    pieces = encoded.mapInPandas(run, "seq bigint, raw binary, n bigint").persist()  # counted first, then passed on
+    try:
+        n = {r["seq"]: r["n"] for r in pieces.groupBy("seq").agg(F.sum("n").alias("n")).toLocalIterator()}
+        if not all(0 <= seq < len(commits) for seq in n):
+            raise ArgError("a change of a commit that is not among those to be written")
+        by = groupby(((r["seq"], bytes(r["raw"])) for r in pieces.select("seq", "raw").toLocalIterator()), lambda x: x[0])
+
+        def stream() -> Iterator[bytes]:
+            yield codec.write_header(header, word) + codec.LOG_START
+            for seq, c in enumerate(commits):
+                parts = (raw for _, raw in next(by)[1]) if seq in n else ()
+                yield from codec.commit_stream(parts, n.get(seq, 0), c)
+
+        return store.new_log(ss, cl, streams.joined(stream()))
+    finally:
+        pieces.unpersist()
+
+
 def roundtrip_snapshot(state: DataFrame, meta: codec.Meta) -> DataFrame:
     """(elt_id, data) after encoding into snapshot files, one per Arrow batch, and decoding them again, in the tasks."""
     header = codec.Header("snapshot", "roundtrip")

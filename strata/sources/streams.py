@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from strata.errors import ReadOnly
 
@@ -11,6 +11,19 @@ def pieces(data: bytes | Iterable[bytes]) -> Iterable[bytes]:
     return (data,) if isinstance(data, bytes | bytearray) else data
 
 
+def joined(parts: Iterable[bytes], size: int = 1 << 20) -> Iterator[bytes]:
+    """The same bytes in fewer pieces: small ones are joined up to ``size``."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part)
+        if n >= size:
+            yield b"".join(held)
+            held, n = [], 0
+    if held:
+        yield b"".join(held)
+
+
 class MemoryStore:
     """Keeps what is written; never replaces it. A log needs its snapshot's number."""
 

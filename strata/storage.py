@@ -121,9 +121,9 @@ class ParquetStorage:
 class BinaryStorage:
     """Files of the binary format in any provider of numbered byte strings (see :mod:`strata.sources.streams`).
 
-    Files are decoded in the tasks, a file by a task. A snapshot's elements are encoded in the tasks,
-    by ranges of their ids, and pass through the driver piece by piece, as the format wants one file
-    with one checksum. A log passes through the driver whole; it holds what was unsaved.
+    Files are decoded in the tasks, a file by a task. A snapshot's elements and a log's changes are
+    encoded in the tasks, by ranges of their ids, and pass through the driver piece by piece, as the
+    format wants one file with one checksum.
     """
 
     def __init__(self, spark: SparkSession, provider, *, elt_type: str = "binary", word: bytes = codec.WORD, codecs: dict[str, Codec] | None = None):
@@ -201,18 +201,17 @@ class BinaryStorage:
 
     def new_log(self, ss: int, cl: int, rows: list[dict], changes: DataFrame | None) -> bool:
         rows = [r for r in rows if r["parents"]]  # the blank state is its snapshot's
-        by: dict[str, list] = {r["statesum"]: [] for r in rows}
-        if changes is not None:
-            data = F.when(F.col("op") != "DEL", self._bytes(self.elt_type))
-            for statesum, i, op, x in changes.select("statesum", "elt_id", "op", data).toLocalIterator():
-                by[statesum].append((i % 2**64, op, None if x is None else bytes(x)))
         if not rows:
             return True
-        commits = [
-            codec.Commit(bytes.fromhex(r["statesum"]), tuple(map(bytes.fromhex, r["parents"])), codec.Meta(r["number"], r["ts"], r["ext_flags"], r["extra"]), tuple(by[r["statesum"]]))
-            for r in rows
-        ]
-        return self.provider.new_log(ss, cl, codec.write_log(commits, self.header("log", self._header.name), self.word))
+        commits = [codec.Commit(bytes.fromhex(r["statesum"]), tuple(map(bytes.fromhex, r["parents"])), codec.Meta(r["number"], r["ts"], r["ext_flags"], r["extra"])) for r in rows]
+        header = self.header("log", self._header.name)
+        if changes is None:
+            return self.provider.new_log(ss, cl, codec.write_log(commits, header, self.word))
+        data = F.when(F.col("op") != "DEL", self._bytes(self.elt_type))
+        at = self.spark.createDataFrame([(r["statesum"], i) for i, r in enumerate(rows)], "statesum string, seq bigint")
+        seq = F.coalesce("seq", F.raise_error(F.lit("a change of a commit that the log does not hold")).cast("bigint"))
+        own = changes.select("statesum", "elt_id", "op", data.alias("data")).join(F.broadcast(at), "statesum", "left").withColumn("seq", seq)
+        return files.export_log(own, commits, self.provider, ss, cl, header, self.word)
 
     def new_snapshot(self, ss: int, row: dict, state: DataFrame) -> bool:
         rows = state.select("elt_id", self._bytes(self.elt_type).alias("data"))
