@@ -10,13 +10,15 @@ class StrataError(Exception):
 class ReadError(StrataError):
     """Bytes that are not what the format asks for; knows where."""
 
-    def __init__(self, message: str, position: int = 0, span: tuple[int, int] = (0, 0), data: bytes = b""):
+    def __init__(self, message: str, position: int = 0, span: tuple[int, int] = (0, 0), data: bytes = b"", before: int = 0):
         super().__init__(f"{message} at byte {position} (offsets {span[0]} to {span[1]})")
         self.message, self.position, self.span, self.data = message, position, span, data
+        self.before = before  # bytes ahead of data
 
     def display(self) -> str:
         """The bytes around the failure in hex, with carets under the span."""
-        shown = self.data[self.position : self.position + max(16, self.span[1])]
+        at = max(0, self.position - self.before)
+        shown = self.data[at : at + max(16, self.span[1])]
         line = " ".join(f"{b:02X}" for b in shown)
         marks = " ".join("^^" if self.span[0] <= i < self.span[1] else "  " for i in range(len(shown)))
         return f"{self}\n{line}\n{marks.rstrip()}"

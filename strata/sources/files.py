@@ -36,9 +36,9 @@ def _signed(i: int) -> int:
     return i - 2**64 if i >= 2**63 else i
 
 
-def decoded(what: str, path: str, ss: int, cl: int | None, data: bytes) -> Iterator[tuple]:
-    """Rows of one file; files of the other kind give none."""
-    src = codec.Input(data)
+def decoded(what: str, path: str, ss: int, cl: int | None, data: bytes | codec.Input) -> Iterator[tuple]:
+    """Rows of one file; files of the other kind give none. Of an open file, what is larger than its window is never held."""
+    src = data if isinstance(data, codec.Input) else codec.Input(data)
     header = codec.read_header(src)
     if what in OF_SNAPSHOTS and header.kind == "snapshot":
         s = codec.read_snapshot(src, header.version)
@@ -49,17 +49,18 @@ def decoded(what: str, path: str, ss: int, cl: int | None, data: bytes) -> Itera
         for i, x in s.elements.items():
             yield path, ss, s.statesum.hex().upper(), _signed(i), x
     elif what not in OF_SNAPSHOTS and header.kind == "log":
-        for seq, c in enumerate(codec.read_log(src, header.version)):
+        for seq, (c, n, start) in enumerate(codec.scan_log(src, header.version)):
             name = c.statesum.hex().upper()
             if what == "commits":
                 m = c.meta
-                yield path, ss, cl, seq, name, [p.hex().upper() for p in c.parents], m.number, m.timestamp, m.flags, m.extra, len(c.changes)
-            else:
-                for i, op, x in c.changes:
+                yield path, ss, cl, seq, name, [p.hex().upper() for p in c.parents], m.number, m.timestamp, m.flags, m.extra, n
+            else:  # once more, as the sum comes after the changes
+                src.seek(start)
+                for i, op, x in codec.changes_at(src, n):
                     yield path, ss, cl, seq, name, _signed(i), op, x
 
 
-def frames_of(what: str, path: str, ss: int, cl: int | None, data: bytes) -> Iterator[pd.DataFrame]:
+def frames_of(what: str, path: str, ss: int, cl: int | None, data: bytes | codec.Input) -> Iterator[pd.DataFrame]:
     """The rows of one file as frames of at most ``ROWS`` rows."""
     names = [x.split()[0] for x in SCHEMAS[what].split(", ")]
     rows = decoded(what, path, ss, cl, data)
@@ -82,8 +83,14 @@ def lengths(files: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, folder: str | list[str], what: str, basename: str | None = None) -> DataFrame:
-    """'elements' or 'states' of snapshots, 'commits' or 'changes' of logs."""
-    rows = spark.read.format("binaryFile").load(folder).select("path", "content")
+    """'elements' or 'states' of snapshots, 'commits' or 'changes' of logs.
+
+    Files of the local file system, or mounted, are read by the tasks through a window of some MB.
+    Those of other file systems come as one value each, which is at most 2 GB.
+    """
+    found = spark.read.format("binaryFile").load(folder)
+    opened = all(x.startswith("file:") for x in found.inputFiles())
+    rows = found.select("path", F.lit(None).cast("binary").alias("content") if opened else "content")
     rows = rows.withColumn("p", file_parts(F.element_at(F.split("path", "/"), -1)))
     wanted = rows.where(F.col("p.kind") == ("snapshot" if what in OF_SNAPSHOTS else "log"))
     if basename is not None:
@@ -92,7 +99,12 @@ def read(spark: SparkSession, folder: str | list[str], what: str, basename: str
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for path, ss, cl, data in zip(f["path"], f["ss"], f["cl"], f["content"]):
-                yield from frames_of(what, path, int(ss), None if pd.isna(cl) else int(cl), bytes(data))
+                number = int(ss), None if pd.isna(cl) else int(cl)
+                if opened:
+                    with open(re.sub("^file:/*", "/", path), "rb") as file:
+                        yield from frames_of(what, path, *number, codec.FileInput(file))
+                else:
+                    yield from frames_of(what, path, *number, bytes(data))
 
     return wanted.select("path", "p.ss", "p.cl", "content").mapInPandas(run, SCHEMAS[what])
 
@@ -123,7 +135,8 @@ class _Reader(DataSourceReader):
         parts = Path(p).name
         m = re.match(SNAPSHOT_NAME, parts) or re.match(LOG_NAME, parts)
         cl = int(m[3]) if m.re.groups == 3 else None
-        yield from decoded(self.options.get("what", "elements"), str(p), int(m[2]), cl, p.read_bytes())
+        with p.open("rb") as file:
+            yield from decoded(self.options.get("what", "elements"), str(p), int(m[2]), cl, codec.FileInput(file))
 
 
 def register(spark: SparkSession) -> None:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from strata.errors import ArgError
+from strata.errors import ArgError, IdClash
 from strata.plans import store
 from strata.sources import codec, files
 from strata.sources.streams import MemoryStore
@@ -55,3 +55,68 @@ def test_export_log_is_the_plain_log(spark, monkeypatch):
     assert files.export_log(changes.limit(0), commits[:1], kept, 0, 2, header) and kept.read_log(0, 2) == codec.write_log(commits[:1], header)
     with pytest.raises(ArgError):
         files.export_log(changes, commits[:2], kept, 0, 3, header)
+
+
+def _log(n):
+    header = codec.Header("log", "n")
+    rows = tuple((3 * i, ("INS", "DEL", "REPL")[i % 3], None if i % 3 == 1 else b"%d" % i) for i in range(n))
+    commits = [codec.Commit(bytes([k]) * 32, (b"\7" * 32,), codec.Meta(k, k), rows[k * n // 8 : (k + 1) * n // 8]) for k in range(8)]
+    return codec.write_log(commits, header), [(k, r[0], r[1], r[2]) for k, c in enumerate(commits) for r in c.changes]
+
+
+def _peak(work):
+    """MB of Python's memory that ``work`` takes at most."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_log_through_a_window(tmp_path, monkeypatch):
+    monkeypatch.setattr(codec.FileInput, "WINDOW", 50)
+    raw, want = _log(100)
+    (tmp_path / "f").write_bytes(raw)
+
+    def read(data):
+        (tmp_path / "f").write_bytes(data)
+        with (tmp_path / "f").open("rb") as f:
+            return list(files.decoded("changes", "", 0, 1, codec.FileInput(f))), list(files.decoded("commits", "", 0, 1, codec.Input(data)))
+
+    got, commits = read(raw)
+    assert [(x[3], *x[5:]) for x in got] == want and [c[-1] for c in commits] == [12, 13, 12, 13, 12, 13, 12, 13]
+    for at in range(80, len(raw), 37):  # every kind of damage is found, at the byte where it is found in memory
+        for bad in (raw[:at], raw[:at] + bytes([raw[at] ^ 1]) + raw[at + 1 :]):
+            said = []
+            for src in (codec.Input(bad), "file"):
+                (tmp_path / "f").write_bytes(bad)
+                with (tmp_path / "f").open("rb") as f:
+                    try:
+                        said.append((list(files.decoded("changes", "", 0, 1, codec.FileInput(f) if src == "file" else src)), None))
+                    except Exception as e:
+                        said.append((str(e), type(e)))
+            assert said[0] == said[1]
+    twice = codec.Commit(bytes(32), (bytes(32),), codec.Meta(1, 1), ((5, "DEL", None), (1, "DEL", None), (5, "INS", b"x")))
+    for c in (twice, codec.Commit(bytes(32), (bytes(32),), codec.Meta(1, 1), twice.changes[1:])):
+        parts = [codec.change_bytes(*x) for x in c.changes]  # not in order
+        data = codec.write_log([], codec.Header("log", "n")) + b"".join(codec.commit_stream(parts, len(parts), c))
+        if c is twice:
+            with pytest.raises(IdClash):
+                read(data)
+        else:
+            assert [x[5] for x in read(data)[0]] == [1, 5]
+
+
+def test_log_is_not_held(tmp_path):
+    one = codec.Commit(bytes(32), (bytes(32),), codec.Meta(1, 1), tuple((i, "INS", b"0123456789") for i in range(200_000)))
+    path = tmp_path / "n-ss0-cl1.piplog"
+    path.write_bytes(codec.write_log([one], codec.Header("log", "n")))
+
+    def read():
+        reader = files._Reader({"path": str(tmp_path), "what": "changes"})
+        assert sum(1 for p in reader.partitions() for _ in reader.read(p)) == 200_000
+
+    assert path.stat().st_size > 15e6 and _peak(read) < 15  # held as a whole it took 79 MB
