@@ -41,13 +41,15 @@ def decoded(what: str, path: str, ss: int, cl: int | None, data: bytes | codec.I
     src = data if isinstance(data, codec.Input) else codec.Input(data)
     header = codec.read_header(src)
     if what in OF_SNAPSHOTS and header.kind == "snapshot":
-        s = codec.read_snapshot(src, header.version)
+        s, n, start = codec.scan_snapshot(src, header.version)
+        name = s.statesum.hex().upper()
         if what == "states":
             m = s.meta
-            yield path, ss, s.statesum.hex().upper(), [p.hex().upper() for p in s.parents], m.number, m.timestamp, m.flags, m.extra, len(s.elements)
+            yield path, ss, name, [p.hex().upper() for p in s.parents], m.number, m.timestamp, m.flags, m.extra, n
             return
-        for i, x in s.elements.items():
-            yield path, ss, s.statesum.hex().upper(), _signed(i), x
+        src.seek(start)  # once more, as the sum comes after the elements
+        for i, x, _ in codec.elements_at(src, n):
+            yield path, ss, name, _signed(i), x
     elif what not in OF_SNAPSHOTS and header.kind == "log":
         for seq, (c, n, start) in enumerate(codec.scan_log(src, header.version)):
             name = c.statesum.hex().upper()

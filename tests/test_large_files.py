@@ -120,3 +120,42 @@ def test_log_is_not_held(tmp_path):
         assert sum(1 for p in reader.partitions() for _ in reader.read(p)) == 200_000
 
     assert path.stat().st_size > 15e6 and _peak(read) < 15  # held as a whole it took 79 MB
+
+
+def test_snapshot_through_a_window(tmp_path, monkeypatch):
+    monkeypatch.setattr(codec.FileInput, "WINDOW", 50)
+    header, meta, parents = codec.Header("snapshot", "n"), codec.Meta(3, 4, 0, "x"), [b"\7" * 32]
+    rows = [(3 * i, b"%d" % i * (i % 20)) for i in range(40)] + [(-1, b"")]
+    raw = codec.write_snapshot_file(rows, parents, meta, header)
+
+    def read(what, data, opened):
+        (tmp_path / "f").write_bytes(data)
+        with (tmp_path / "f").open("rb") as f:
+            try:
+                return list(files.decoded(what, "", 0, None, codec.FileInput(f) if opened else data))
+            except Exception as e:
+                return type(e), str(e)
+
+    assert [x[3:] for x in read("elements", raw, True)] == rows
+    assert read("states", raw, True) == read("states", raw, False) and read("states", raw, True)[0][3:] == (["07" * 32], 3, 4, 0, "x", 41)
+    for at in range(80, len(raw), 29):  # every kind of damage is found, at the byte where it is found in memory
+        for bad in (raw[:at], raw[:at] + bytes([raw[at] ^ 1]) + raw[at + 1 :]):
+            for what in ("elements", "states"):
+                assert isinstance(read(what, bad, True), tuple) and read(what, bad, True) == read(what, bad, False)
+    for ids in ((5, 1, 5), (5, 1, 4), (5, 5)):  # not in order
+        parts = [codec.element_bytes(i, b"x") for i in ids]
+        data = codec.write_header(header) + b"".join(codec.snapshot_stream(parts, len(ids), parents, meta))
+        got = read("states", data, True)
+        assert got == (IdClash, "element 5 comes twice") if len(set(ids)) < len(ids) else got[0][-1] == 3
+
+
+@pytest.mark.parametrize("what", ["states", "elements"])
+def test_snapshot_is_not_held(tmp_path, what):
+    path = tmp_path / "n-ss0.pip"
+    path.write_bytes(codec.write_snapshot_file([(i, b"0123456789") for i in range(200_000)], [], codec.Meta(1, 1), codec.Header("snapshot", "n")))
+
+    def read():
+        reader = files._Reader({"path": str(tmp_path), "what": what})
+        assert sum(1 for p in reader.partitions() for _ in reader.read(p)) == (1 if what == "states" else 200_000)
+
+    assert path.stat().st_size > 15e6 and _peak(read) < 15  # held as a whole it took 57 MB
